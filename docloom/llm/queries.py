@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import warc
+from . import decontam, line_dedup, mixing, warc
 from .common import table
 
 
@@ -14,8 +15,23 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = line_dedup.line_counts(table(spark, sf_dir, "documents"))
+    return counts.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("item_list", 256).alias("items_sha256"), "contaminated")
+
+
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.draws(table(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", "source", "n_tokens", "n_rows", "weight", "epoch", "block", "pos")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_warc": op4_warc}
+    return {"op4_warc": op4_warc, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op10_mix": op10_mix}
 
 
 def oracle_sql() -> dict[str, str]:
