@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, mixing, warc
+from . import decontam, line_dedup, mixing, quality, warc
 from .common import table
 
 
@@ -25,13 +25,17 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("item_list", 256).alias("items_sha256"), "contaminated")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.draws(table(spark, sf_dir, "documents"))
     return drawn.select("doc_id", "source", "n_tokens", "n_rows", "weight", "epoch", "block", "pos")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_warc": op4_warc, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op10_mix": op10_mix}
+    return {"op4_warc": op4_warc, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op8_quality": op8_quality, "op10_mix": op10_mix}
 
 
 def oracle_sql() -> dict[str, str]:
