@@ -54,7 +54,7 @@ def forget(spark: SparkSession, *dfs: DataFrame) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the bytes that ``df`` reads; no job runs for it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, minhash, mixing, quality, warc
+from . import decontam, line_dedup, minhash, mixing, quality, suffix_dedup, warc
 from .common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.substring_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
@@ -39,7 +44,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_minhash": op2_minhash, "op4_warc": op4_warc, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op8_quality": op8_quality, "op10_mix": op10_mix}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_minhash": op2_minhash, "op4_warc": op4_warc, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op8_quality": op8_quality, "op10_mix": op10_mix}
 
 
 def oracle_sql() -> dict[str, str]:
