@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, minhash, mixing, quality, suffix_dedup, warc
+from . import decontam, line_dedup, minhash, mixing, quality, secrets, suffix_dedup, warc
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -44,7 +49,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_minhash": op2_minhash, "op4_warc": op4_warc, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op8_quality": op8_quality, "op10_mix": op10_mix}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_minhash": op2_minhash, "op3_secrets": op3_secrets, "op4_warc": op4_warc, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op8_quality": op8_quality, "op10_mix": op10_mix}
 
 
 def oracle_sql() -> dict[str, str]:
