@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embedding_dedup, line_dedup, minhash, mixing, quality, secrets, suffix_dedup, warc
+from . import decontam, embedding_dedup, licenses, line_dedup, minhash, mixing, quality, secrets, suffix_dedup, warc
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = line_dedup.line_counts(table(spark, sf_dir, "documents"))
     return counts.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
@@ -53,7 +57,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_minhash": op2_minhash, "op3_secrets": op3_secrets, "op4_warc": op4_warc, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op8_quality": op8_quality, "op9_embeddings": op9_embeddings, "op10_mix": op10_mix}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_minhash": op2_minhash, "op3_secrets": op3_secrets, "op4_warc": op4_warc, "op5_licenses": op5_licenses, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op8_quality": op8_quality, "op9_embeddings": op9_embeddings, "op10_mix": op10_mix}
 
 
 def oracle_sql() -> dict[str, str]:
