@@ -16,12 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, stored
 
 #: Separators of words, once A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word in a text as it stands.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLOCK_BYTES = 32 << 20
 
 
@@ -46,14 +44,27 @@ def _blocks(grams: DataFrame, benchmark: DataFrame, n: int, block_bytes: int) ->
     return [grams] if k == 1 else [grams.filter(F.pmod(F.xxhash64("gram"), F.lit(k)) == b) for b in range(k)]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, keys: list[str], text_col: str = "text", n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows (keys, start, len, item_ids) for each place where a window occurs; word positions from 0."""
+def _scan(docs: DataFrame, block: DataFrame, keys: list[str], text_col: str, how: str) -> DataFrame:
+    """Rows (keys, n_words, start, len, item_ids) of hits; if ``how`` is left, also a row without start for each document.
+
+    Word 0 is empty and matches nothing: it carries the document's own row through the join.
+    """
+    each = docs.select(*keys, F.concat(F.array(F.lit("")), words_of(F.col(text_col))).alias("_w"))
+    each = each.select(*keys, "_w", F.posexplode_outer("_w").alias("_at", "_word"))
+    first = F.col("_at") - F.col("offset")
+    same = (F.col("_word") == F.col("pivot")) & (first >= 1) & (F.slice("_w", first + 1, F.size("gram")) == F.col("gram"))
+    met = each.join(F.broadcast(block), same, how)
+    if how == "left":
+        met = met.filter(F.coalesce(F.col("_at"), F.lit(0)).eqNullSafe(0) | F.col("gram").isNotNull())
+    words = F.when(F.col("_w").isNull(), 0).otherwise(F.size("_w") - 1).cast("long")
+    return met.select(*keys, words.alias("n_words"), (first - 1).alias("start"), F.when(F.col("gram").isNotNull(), F.size("gram")).alias("len"), "item_ids")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, keys: list[str], text_col: str = "text", n: int = 10, block_bytes: int = BLOCK_BYTES, with_documents: bool = False) -> DataFrame:
+    """Rows (keys, n_words, start, len, item_ids) for each place where a window occurs; word positions from 0."""
     grams, out = windows_of(benchmark, n), None
-    for block in _blocks(grams, benchmark, n, block_bytes):
-        words = docs.select(*keys, words_of(F.col(text_col)).alias("_w"))
-        each = words.select(*keys, "_w", F.posexplode("_w").alias("_at", "_word"))
-        same = (F.col("_word") == F.col("pivot")) & (F.col("_at") >= F.col("offset")) & (F.slice("_w", F.col("_at") - F.col("offset") + 1, F.size("gram")) == F.col("gram"))
-        got = each.join(F.broadcast(block), same).select(*keys, (F.col("_at") - F.col("offset")).alias("start"), F.size("gram").alias("len"), "item_ids")
+    for i, block in enumerate(_blocks(grams, benchmark, n, block_bytes)):
+        got = _scan(docs, block, keys, text_col, "left" if with_documents and not i else "inner")
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -70,13 +81,15 @@ def spans(found: DataFrame, keys: list[str]) -> DataFrame:
 def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, n_items, item_list (sorted as strings, comma-joined), contaminated."""
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("_h"))
-    found = hits(docs, benchmark, ["doc_id", "_h"], n=n, block_bytes=block_bytes)
+    # One scan of the texts; what it finds is small, stored, and read twice.
+    scanned = stored(hits(docs, benchmark, ["doc_id", "_h"], n=n, block_bytes=block_bytes, with_documents=True), "hits")
+    found = scanned.filter("start IS NOT NULL")
     covered = spans(found, ["doc_id", "_h"]).groupBy("doc_id", "_h").agg(F.sum(F.col("stop") - F.col("start")).cast("long").alias("n_hit"))
     item = found.select("doc_id", "_h", F.explode("item_ids").alias("item")).distinct().groupBy("doc_id", "_h")
     items = item.agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list(F.col("item").cast("string"))), ",").alias("item_list"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_h"] == b["_h"])
     met = covered.join(items, same(covered, items)).select(covered["doc_id"], covered["_h"], "n_hit", "n_items", "item_list")
-    base = docs.select("doc_id", "_h", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    base = scanned.filter("start IS NULL").select("doc_id", "_h", "n_words")
     return base.join(met, same(base, met), "left").select(
         base["doc_id"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("item_list", F.lit("")).alias("item_list"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
