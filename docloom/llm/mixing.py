@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 BLOCK_TOKENS = 200_000
 MAX_BLOCKS = 65_536
 LEVELS, PASSES = 6, 5
@@ -88,8 +90,9 @@ def draws(docs: DataFrame, budget_tokens: int | None = None, min_entropy_share:
     Sorting by (epoch, block_rank, source, pos) gives the order of training.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", tokens_of(F.col("text")).alias("n_tokens")).filter("n_tokens > 0")
-    rows = rows.groupBy("doc_id", "text_hash", "source", "n_tokens").agg(F.count("*").alias("n_rows"))
-    totals = rows.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_rows")).alias("n_tokens"))
+    # Texts are read once: the passes below take small rows from here.
+    rows = stored(rows.groupBy("doc_id", "text_hash", "source", "n_tokens").agg(F.count("*").alias("n_rows")), "tokens")
+    totals = stored(rows.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_rows")).alias("n_tokens")), "totals")
     w = source_weights(totals, budget_tokens, min_entropy_share, max_repeats).select(F.col("source").alias("w_source"), F.col("n_tokens").alias("all_tokens"), "weight", "budget")
     # No hint: the planner broadcasts the weights where their measured size allows, and splits hot sources where not.
     met = rows.join(w, F.col("source").eqNullSafe(F.col("w_source"))).drop("w_source")
