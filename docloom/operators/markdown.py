@@ -322,31 +322,36 @@ def _joined(a: Column, b: Column) -> Column:
     return F.concat(a, F.when(meet, F.lit(" ")).otherwise(""), b)
 
 
-def merged_paragraphs(blocks: DataFrame) -> DataFrame:
+STARTS_BLOCK = r"(?:#|[-*+] |```|[0-9]+[.)](?: |\z))"
+ENDS_SENTENCE = r"[.。!！?？:：;；)）\]】\"”]"
+
+
+def merged_paragraphs(blocks: DataFrame, starts_block: str = STARTS_BLOCK, stays=None) -> DataFrame:
     """``blocks`` with paragraphs that break off mid-sentence joined to the next; ``pos`` stays that of the first part.
 
-    Whether two neighbours join depends on them alone, so runs are islands; only the first island of a document, where a
-    short opening may be a title, is folded part by part.
+    Whether two neighbours may join is seen from the two alone, so runs are islands of a window. ``stays(text, first)`` says what
+    more may keep a part from growing; it sees the part as joined so far, so islands are folded part by part. By
+    default a document's first part stays if it is a title.
     """
+    stays = stays or (lambda text, first: first & promotes(text))
     doc = Window.partitionBy("doc_id").orderBy("pos")
     b = blocks.withColumn("t", F.when(F.col("kind") == "paragraph", F.col("text")))
     last = F.lag("t").over(doc)
-    starts = F.col("t").rlike(rf"\A[{SPACE}]*(?:#|[-*+] |```|[0-9]+[.)](?: |\z))")
-    ends = last.rlike(rf"[.。!！?？:：;；)）\]】\"”][{SPACE}]*\z")
+    starts, ends = F.col("t").rlike(rf"\A[{SPACE}]*{starts_block}"), last.rlike(rf"{ENDS_SENTENCE}[{SPACE}]*\z")
     joins = F.col("t").isNotNull() & last.isNotNull() & (trim(last) != "") & (trim(F.col("t")) != "") & ~starts & ~ends
     b = b.withColumn("joins", F.coalesce(joins, F.lit(False))).withColumn("island", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(doc))
-    parts = b.groupBy("doc_id", "island").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("ts"))
-    fold = lambda first: F.aggregate(
-        F.slice("ts", 2, F.size("ts")), F.array(F.struct(F.col("ts")[0]["pos"].alias("pos"), F.col("ts")[0]["t"].alias("t"))),
-        lambda acc, x: F.when(
-            F.lit(first) & (F.size(acc) == 1) & promotes(F.element_at(acc, -1)["t"]), F.concat(acc, F.array(F.struct(x["pos"].alias("pos"), x["t"].alias("t"))))
-        ).otherwise(
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["pos"].alias("pos"), _joined(trim_end(F.element_at(acc, -1)["t"]), F.regexp_replace(x["t"], rf"\A[{SPACE}]+", "")).alias("t"))))
-        ),
-    )
-    folded = parts.filter(F.size("ts") > 1).select("doc_id", F.explode(F.when(F.col("island") == 1, fold(True)).otherwise(fold(False))).alias("m"))
+    parts = b.groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("ts"))
+    part = lambda x, t: F.array(F.struct(x["pos"].alias("pos"), t.alias("t")))
+
+    def grow(acc: Column, x: Column) -> Column:
+        end = F.element_at(acc, -1)
+        first = (F.col("island") == 1) & (F.size(acc) == 1)
+        longer = _joined(trim_end(end["t"]), F.regexp_replace(x["t"], rf"\A[{SPACE}]+", ""))
+        return F.when(stays(end["t"], first), F.concat(acc, part(x, x["t"]))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), part(end, longer)))
+
+    head = F.col("ts")[0]
+    folded = parts.filter(F.size("ts") > 1).select("doc_id", F.explode(F.aggregate(F.slice("ts", 2, F.size("ts")), part(head, head["t"]), grow)).alias("m"))
     folded = folded.select(F.col("doc_id").alias("m_doc"), F.col("m.pos").alias("m_pos"), F.col("m.t").alias("m_t"))
-    size = F.count("*").over(Window.partitionBy("doc_id", "island"))
-    b = b.withColumn("n", size)
+    b = b.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "island")))
     met = b.join(folded, b["doc_id"].eqNullSafe(folded["m_doc"]) & (b["pos"] == folded["m_pos"]), "left").filter((F.col("n") == 1) | F.col("m_pos").isNotNull())
     return met.select(*[F.when(F.col("m_pos").isNotNull(), F.col("m_t")).otherwise(F.col("text")).alias("text") if c == "text" else b[c].alias(c) for c in blocks.columns])
