@@ -86,6 +86,22 @@ def _split(h: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> _U(_KEY_BITS)) % _U(ranges)).astype(np.int64), h & _U((1 << _KEY_BITS) - 1)
 
 
+def _squeezed(rows: np.ndarray) -> bytes:
+    """A structured array column by column, compressed: rows of one block share ids and much of their text."""
+    flat = b"".join(np.ascontiguousarray(rows[f]).tobytes() for f in rows.dtype.names)
+    return len(rows).to_bytes(8, "little") + pa.compress(flat, codec="zstd", asbytes=True)
+
+
+def _expanded(cell: bytes, kind: np.dtype) -> np.ndarray:
+    n = int.from_bytes(cell[:8], "little")
+    flat, at, out = pa.decompress(cell[8:], decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True), 0, np.zeros(n, kind)
+    for f in kind.names:
+        size = n * kind[f].itemsize
+        out[f] = np.frombuffer(flat[at : at + size], kind[f])
+        at += size
+    return out
+
+
 def _runs(sorted_values: np.ndarray) -> np.ndarray:
     """Where runs of equal values start."""
     return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
@@ -170,7 +186,8 @@ def substring_duplicates(documents: DataFrame, length: int = LENGTH, block_bytes
         order = np.argsort(rng, kind="stable")
         rng, rows = rng[order], rows[order]
         head = _runs(rng)
-        cells = [rows[a:e].tobytes() for a, e in zip(head, np.append(head[1:], len(rng)), strict=True)]
+        edge = np.append(head, len(rng))
+        cells = [_squeezed(rows[a:e]) if rows.dtype.names else rows[a:e].tobytes() for a, e in zip(edge[:-1], edge[1:], strict=True)]
         n = len(cells)
         return pa.table({"range": pa.array(rng[head], pa.int64()), "block": pa.array(np.full(n, block), pa.int64()), "kind": pa.array(np.full(n, kind), pa.int32()), "cells": pa.array(cells, pa.binary())})
 
@@ -293,9 +310,9 @@ def substring_duplicates(documents: DataFrame, length: int = LENGTH, block_bytes
         s = np.concatenate(told) if told else np.zeros(0, span_type)
         plain, alias = s[s["other"] < 0], s[s["other"] >= 0]
         if len(plain):
-            parts.append(_cell(block, 2, _merged(plain).tobytes()))
+            parts.append(_cell(block, 2, _squeezed(_merged(plain))))
         if len(alias):
-            parts.append(_cell(block, 3, alias.tobytes()))
+            parts.append(_cell(block, 3, _squeezed(alias)))
         return pa.concat_tables(parts) if parts else emit(block, 1, np.zeros(0, np.int64), np.zeros(0, cell_type))
 
     def _cell(block: int, kind: int, cells: bytes) -> pa.Table:
@@ -315,7 +332,7 @@ def substring_duplicates(documents: DataFrame, length: int = LENGTH, block_bytes
     def search(key: tuple, table: pa.Table) -> pa.Table:
         kinds, cells, owners = table.column("kind").to_numpy(), table.column("cells").to_pylist(), table.column("block").to_numpy()
         passed = [_cell(int(b), int(k), c) for k, c, b in zip(kinds, cells, owners, strict=True) if k != 1]
-        asked = [(b, np.frombuffer(c, cell_type)) for k, c, b in zip(kinds, cells, owners, strict=True) if k == 1]
+        asked = [(b, _expanded(c, cell_type)) for k, c, b in zip(kinds, cells, owners, strict=True) if k == 1]
         if not asked:
             return pa.concat_tables(passed) if passed else emit(0, 2, np.zeros(0, np.int64), np.zeros(0, span_type))
         block = np.repeat([b for b, _ in asked], [len(c) for _, c in asked])
@@ -364,15 +381,15 @@ def substring_duplicates(documents: DataFrame, length: int = LENGTH, block_bytes
         edges = np.append(_runs(b[order]), len(b))
         for x, y in zip(edges[:-1], edges[1:], strict=True):
             pick = order[x:y]
-            parts.append(_cell(int(b[pick[0]]), 2, _merged(s[pick]).tobytes()))
+            parts.append(_cell(int(b[pick[0]]), 2, _squeezed(_merged(s[pick]))))
         return pa.concat_tables(parts) if parts else emit(0, 2, np.zeros(0, np.int64), np.zeros(0, span_type))
 
     def remove(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         order, ids, raw, off = _block(table)
         cells, kinds = told.column("cells").to_pylist(), told.column("kind").to_pylist()
         none = np.zeros(0, span_type)
-        s = np.concatenate([none, *[np.frombuffer(c, span_type) for c, k in zip(cells, kinds, strict=True) if k == 2]])
-        alias = np.concatenate([none, *[np.frombuffer(c, span_type) for c, k in zip(cells, kinds, strict=True) if k == 3]])
+        s = np.concatenate([none, *[_expanded(c, span_type) for c, k in zip(cells, kinds, strict=True) if k == 2]])
+        alias = np.concatenate([none, *[_expanded(c, span_type) for c, k in zip(cells, kinds, strict=True) if k == 3]])
         step = np.zeros(len(raw) + 1, np.int32)
         np.add.at(step, off[s["row"]] + s["at"], 1)
         np.add.at(step, off[s["row"]] + s["stop"], -1)
