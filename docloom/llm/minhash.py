@@ -1,8 +1,7 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Texts become sets of distinct word shingles. Rows of one set form a class. Signatures are banded; in each bucket of a
-band a few pivots are compared with the members of other components, round after round, until no two members of a
-bucket that are still apart are uncompared. A comparison reads the signatures in batches and stops when the posterior
+band all members are compared with a pivot, then, in blocks that send no pairs on, those that are still in different components. A comparison reads the signatures in batches and stops when the posterior
 probability (uniform prior, binomial matches) that the similarity reaches the threshold falls below ``prune``; pairs
 that survive are verified on the full sets. Links, buckets and components stay in distributed tables.
 
@@ -23,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .components import components
+from .common import shuffle_width, stored
+from .components import components, joined
 from .shingles import buffers, mix, shingle_sets
 
 ROWS = 5
 BATCH = 16
+CHUNK = 1024
+#: Ids of a neighbourhood up to which its ids meet once, not once a bucket.
+HOOD = 4096
 
 
 def banding(threshold: float, miss: float, rows: int = ROWS) -> tuple[int, int]:
@@ -100,6 +102,98 @@ def likely(pairs: DataFrame, hashes: int, threshold: float, prune: float) -> Dat
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def set_table(texts: DataFrame, k: int) -> DataFrame:
+    """Rows (id, set): the sorted shingles of texts (id, text), 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, len(b), 512):
+                part = b.slice(i, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), k)], pa.binary())], names=["id", "set"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, set binary")
+
+
+def links_between(x: slice, y: slice, same: bool, band: int | None, label: np.ndarray, sig: np.ndarray, bands: np.ndarray, code: np.ndarray, off: np.ndarray, steps: list, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of different labels that share a band (the given one first, if one is given).
+
+    Signatures are compared in batches, and full sets for the pairs that are not pruned: one set is marked, and its meetings with all of ``y`` counted at once.
+    """
+    left, right = [], []
+    sizes, mark = np.diff(off), np.zeros(int(code.max()) + 1 if len(code) else 0, bool)
+    flat, starts = code[off[y.start] : off[y.stop]], off[y.start : y.stop] - off[y.start]
+    for a in range(x.start, x.stop, 256):
+        e = min(a + 256, x.stop)
+        ok = label[a:e, None] != label[None, y]
+        if same:
+            ok &= np.arange(a, e)[:, None] < np.arange(y.start, y.stop)[None, :]
+        shares = np.zeros_like(ok)
+        for c in range(bands.shape[1]) if band is None else [band]:
+            shares |= bands[a:e, c][:, None] == bands[y, c][None, :]
+        for c in range(band or 0):
+            shares &= bands[a:e, c][:, None] != bands[y, c][None, :]
+        i, j = np.nonzero(ok & shares)
+        m = np.zeros(len(i), np.int64)
+        for n, least in steps:
+            m += (sig[i + a, n - BATCH : n] == sig[j + y.start, n - BATCH : n]).sum(axis=1)
+            on = m >= least
+            i, j, m = i[on], j[on], m[on]
+        for r in np.unique(i):
+            mine = code[off[r + a] : off[r + a + 1]]
+            mark[mine] = True
+            both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[mine] = False
+            js = j[i == r]
+            hit = js[den * both[js] >= num * (len(mine) + sizes[y][js] - both[js])]
+            left.append(np.full(len(hit), r + a))
+            right.append(hit + y.start)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def meet_in_blocks(rows: DataFrame, hashes: int, num: int, den: int, prune: float, slots: int) -> DataFrame:
+    """Links (a, b) that join the ids of each group as all its linked pairs of different labels do.
+
+    Rows are (id, label, grp, by_key, chunks, sig, bands, set). A group of several chunks is dealt out as pairs of chunks; small
+    groups share tasks. With ``by_key`` the group is a bucket, and takes the pairs of which it is the first that they share.
+    """
+    steps = least_matches(hashes, num / den, prune)
+    dealt = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("id", "label", "grp", "by_key", "sig", "bands", "set", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    dealt = dealt.withColumn("slot", F.when(F.col("j") == 0, F.pmod(F.xxhash64("grp"), F.lit(slots))).otherwise(F.xxhash64("grp", "by_key", "i", "j")))
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        g, by, c, d, m, v = (table.column(n).to_numpy() for n in ("grp", "by_key", "i", "j", "mine", "id"))
+        order = np.lexsort((v, m, d, c, by, g))
+        table = table.take(pa.array(order))
+        g, by, c, d, m, v = g[order], by[order], c[order], d[order], m[order], v[order]
+        label = table.column("label").to_numpy()
+        sig = np.frombuffer(buffers(table.column("sig").combine_chunks())[0].tobytes(), np.uint16).reshape(len(v), hashes)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(v), -1)
+        raw, at = buffers(table.column("set").combine_chunks())
+        _, code = np.unique(np.frombuffer(raw.tobytes(), np.uint64), return_inverse=True)
+        off = at // 8
+        new = (g[1:] != g[:-1]) | (by[1:] != by[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])
+        head = np.flatnonzero(np.concatenate([[True], new]))
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for a, e in zip(head, np.append(head[1:], len(v)), strict=True):
+            x, y = slice(a, e), slice(a, e)
+            if c[a] != d[a]:
+                mid = a + int(np.searchsorted(m[a:e], c[a], "right"))
+                if mid in (a, e):
+                    continue
+                x, y = slice(a, mid), slice(mid, e)
+            band = int(np.flatnonzero(bands[a] == g[a])[0]) if by[a] else None
+            i, j = links_between(x, y, c[a] == d[a], band, label, sig, bands, code, off, steps, num, den)
+            ids, least = joined(v[i], v[j])
+            out.append((ids[ids != least], least[ids != least]))
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("slot").applyInArrow(meet, "a long, b long")
+
+
 def verified(pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The rows (a, b) of ``pairs`` (a, b, text_a, text_b) whose full sets meet den * intersection >= num * union."""
 
@@ -133,37 +227,40 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int =
     shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     live = stored(entries.join(shared, "key").distinct(), "buckets")
     ids = live.select("id").distinct()
-    sigs = stored(reps.join(ids, "id", "left_semi").select("id", "sig"), "compared")
+    compared = stored(reps.join(ids, "id", "left_semi").select("id", "sig", "bands"), "compared")
     texts = stored(known.join(ids, known["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text").distinct(), "texts")
     # Ids with rows of several sets tie those sets' classes together.
     links = [member.filter("id <> rep").join(member.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id"), "id").select(F.col("rep").alias("a"), F.col("id").alias("b"))]
-    labels, slots, round_no = None, 1, 0
-    while True:
-        now = live.withColumn("label", F.col("id")) if labels is None else live.join(labels.withColumnRenamed("id", "l_id"), F.col("id") == F.col("l_id"), "left").select("id", "key", F.coalesce("label", "id").alias("label"))
-        apart = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-        live = stored(now.join(apart, "key", "left_semi"), "buckets")
-        if live.isEmpty():
-            break
-        # Pivots come from the components with the fewest members in the bucket, one of each slot of ids.
-        each = live.groupBy("key", "label").agg(F.count("*").alias("c"), F.min("id").alias("pivot"))
-        slot = F.pmod(F.xxhash64("label", F.lit(round_no)), F.lit(slots))
-        pivots = each.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("c", "pivot", "label")).alias("p")).select(F.col("key").alias("p_key"), F.col("p.pivot").alias("pivot"), F.col("p.label").alias("p_label"))
-        pivots = stored(pivots, "pivots")
-        met = live.join(pivots, F.col("key") == F.col("p_key")).filter("label <> p_label")
-        pairs = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        sa, sb = sigs.select(F.col("id").alias("ia"), F.col("sig").alias("sig_a")), sigs.select(F.col("id").alias("ib"), F.col("sig").alias("sig_b"))
-        left = likely(pairs.join(sa, F.col("a") == F.col("ia")).join(sb, F.col("b") == F.col("ib")).select("a", "b", "sig_a", "sig_b"), hashes, threshold, prune).distinct()
+    def told(pairs: DataFrame) -> DataFrame:
+        """Links among ``pairs`` (a, b), verified on full sets."""
         ta, tb = texts.select(F.col("id").alias("ia"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("ib"), F.col("text").alias("text_b"))
-        left = left.join(ta, F.col("a") == F.col("ia")).join(tb, F.col("b") == F.col("ib")).select("a", "b", "text_a", "text_b")
-        links.append(stored(verified(left, k, num, den).distinct(), "links"))
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        labels = components(every)
-        live = live.select("id", "key").join(pivots, (F.col("key") == F.col("p_key")) & (F.col("id") == F.col("pivot")), "left_anti")
-        slots, round_no = min(slots * 4, 4096), round_no + 1
-    if labels is None:
-        labels = components(links[0])
+        met = pairs.join(ta, F.col("a") == F.col("ia")).join(tb, F.col("b") == F.col("ib")).select("a", "b", "text_a", "text_b")
+        return stored(verified(met, k, num, den).distinct(), "links")
+
+    # First a star in each bucket, around a pivot of its own, so that groups join without comparing their members.
+    pivots = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key"), "id")).alias("p")).select(F.col("key").alias("p_key"), F.col("p.id").alias("pivot"))
+    pairs = live.join(pivots, F.col("key") == F.col("p_key")).filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    sa, sb = compared.select(F.col("id").alias("ia"), F.col("sig").alias("sig_a")), compared.select(F.col("id").alias("ib"), F.col("sig").alias("sig_b"))
+    pairs = pairs.join(sa, F.col("a") == F.col("ia")).join(sb, F.col("b") == F.col("ib")).select("a", "b", "sig_a", "sig_b")
+    links.append(told(likely(pairs, hashes, threshold, prune).distinct()))
+    labels = components(links[0].unionByName(links[1]))
+    # Then members of a bucket that are still apart meet in blocks, and only a link for each id joined comes out.
+    now = live.join(labels.withColumnRenamed("id", "l_id"), F.col("id") == F.col("l_id"), "left").select("id", "key", F.coalesce("label", "id").alias("label"))
+    apart = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("least"), F.count("*").alias("n")).filter("lo < hi")
+    apart = apart.select(F.col("key").alias("a_key"), "least", F.col("n").alias("bucket"))
+    rest = stored(now.join(apart, F.col("key") == F.col("a_key")).select("id", "key", "label", "least", "bucket"), "apart")
+    # Buckets that share members form a neighbourhood, in which each id is needed once; where one grows large, its buckets meet apart.
+    near = components(rest.select(F.col("id").alias("a"), F.col("least").alias("b")))
+    sizes = near.groupBy("label").agg(F.count("*").alias("n")).select(F.col("label").alias("s_label"), "n")
+    near = near.join(sizes, F.col("label") == F.col("s_label")).select(F.col("id").alias("n_id"), F.col("label").alias("hood"), "n")
+    rest = rest.join(near, F.col("id") == F.col("n_id"))
+    small = rest.filter(F.col("n") <= HOOD).groupBy("id", "label").agg(F.first("hood").alias("grp"), F.first("n").alias("n")).withColumn("by_key", F.lit(False))
+    large = rest.filter(F.col("n") > HOOD).select("id", "label", F.col("key").alias("grp"), F.col("bucket").alias("n"), F.lit(True).alias("by_key"))
+    sets = set_table(texts.join(rest.select(F.col("id").alias("r_id")).distinct(), F.col("id") == F.col("r_id"), "left_semi"), k)
+    full_rows = small.unionByName(large).join(compared.withColumnRenamed("id", "c_id"), F.col("id") == F.col("c_id")).join(sets.withColumnRenamed("id", "t_id"), F.col("id") == F.col("t_id"))
+    found_links = meet_in_blocks(full_rows.select("id", "label", "grp", "by_key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), "sig", "bands", "set"), hashes, num, den, prune, shuffle_width(documents.sparkSession) * 8)
+    links.append(stored(found_links.distinct(), "links"))
+    labels = components(links[0].unionByName(links[1]).unionByName(links[2]))
     top = member.groupBy("id").agg(F.min("rep").alias("rep"))
     top = top.join(labels.select(F.col("id").alias("l_id"), "label"), F.col("rep") == F.col("l_id"), "left").select(F.col("id").alias("m_id"), F.coalesce("label", "rep").alias("label"))
     found = feats.select("id", "n").join(top, F.col("id") == F.col("m_id"), "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))

@@ -12,7 +12,7 @@ _GOLD = _U(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20_240_501)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=_U) * _U(2) + _U(1)
 _STEP = _rng.integers(1, 2**62, 2, dtype=_U) * _U(4) + _U(3)
-_POWERS = [np.cumprod(np.full(1 << 16, s, dtype=_U), dtype=_U) for s in _STEP]
+_POWERS = [np.cumprod(np.full(1 << 12, s, dtype=_U), dtype=_U) for s in _STEP]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -52,9 +52,9 @@ def _words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(ink)
     heads = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     pos = np.arange(len(at)) - np.repeat(heads, lengths)
-    v = _BYTE[b[at]] * _POWERS[0][pos & 0xFFFF]
-    if lengths.max() > 0xFFFF:
-        v *= _POWERS[1][(pos >> 16) & 0xFFFF]
+    v = _BYTE[b[at]] * _POWERS[0][pos & 0xFFF]
+    if lengths.max() > 0xFFF:
+        v *= _POWERS[1][(pos >> 12) & 0xFFF]
     h = np.add.reduceat(v, heads)
     return mix(h + lengths.astype(_U) * _GOLD), np.searchsorted(off, starts, "right") - 1
 

@@ -91,9 +91,14 @@ def test_near_duplicates_match_brute_force(documents, k, num):
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == expected
 
 
-def test_a_large_group_of_near_copies(spark, prose_of):
+@pytest.mark.parametrize("tight", [False, True])
+def test_a_large_group_of_near_copies(spark, prose_of, monkeypatch, tight):
     import random
 
+    if tight:  # large neighbourhoods by bucket, several chunks, components in passes
+        monkeypatch.setattr(minhash, "HOOD", 50)
+        monkeypatch.setattr(minhash, "CHUNK", 64)
+        monkeypatch.setattr(components, "FEW", 5)
     rng = random.Random(3)
     base = prose_of(rng, 150).split(" ")
     rows = []
@@ -119,7 +124,9 @@ def test_keep_one_keeps_columns(clashing):
     assert kept.filter("doc_id BETWEEN 101 AND 104").count() == 0
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("few", [5, 100_000])
+def test_components_of_a_long_path(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     n = 200
     order = np.random.default_rng(1).permutation(n)
     edges = spark.createDataFrame([(int(order[i]), int(order[i + 1])) for i in range(n - 1)] + [(1000, 1001), (1001, 1002), (5000, 5000)], "a long, b long")
