@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,27 +107,32 @@ def content_status(source_chars: Column, markdown_chars: Column, overlap: Column
     return F.when(source_chars < 200, "unknown").when((markdown_chars < 200) | (ratio < 0.45) | (F.coalesce(overlap, F.lit(1.0)) < 0.35), "warn").otherwise("pass")
 
 
-def _sampled(c: Column) -> Column:
-    third = SAMPLE // 3
-    start = (F.floor(F.length(c) / 2) - third // 2).cast("int") + 1
-    head, mid, tail = F.substring(c, 1, third), F.substring(c, start, F.lit(third)), F.substring(c, -third, third)
-    return F.when(F.length(c) <= SAMPLE, c).otherwise(F.concat(head, mid, tail))
+def overlap_of(a: str | None, b: str | None, size: int = 12) -> float | None:
+    """Containment of a's character shingles in b's, by normal form, lower case and without whitespace; None for short texts.
+
+    Texts over 200,000 characters are compared by their beginning, middle and end.
+    """
+    def grams(t: str | None) -> set[str] | None:
+        t = re.sub(r"\s+", "", unicodedata.normalize("NFKC", t or "").lower())
+        if len(t) > SAMPLE:
+            third = SAMPLE // 3
+            mid = max(0, len(t) // 2 - third // 2)
+            t = t[:third] + t[mid : mid + third] + t[-third:]
+        return {t[i : i + size] for i in range(len(t) - size + 1)} if len(t) >= 120 else None
 
+    x, y = grams(a), grams(b)
+    return None if x is None or y is None else len(x & y) / len(x)
 
-def shingle_overlap(a: Column, b: Column, size: int = 12) -> Column:
-    """Containment of a's character shingles in b's; null if either text is short. Texts are compared lower-case without whitespace."""
-    clean = lambda c: F.regexp_replace(F.lower(c), rf"[{SPACE}]+", "")
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (size - 1)), lambda i: F.substring(c, i, F.lit(size))))
-    x, y = _sampled(clean(a)), _sampled(clean(b))
-    ok = (F.length(x) >= 120) & (F.length(y) >= 120)
-    return F.when(ok, F.size(F.array_intersect(grams(x), grams(y))) / F.size(grams(x)))
+
+@F.pandas_udf(T.DoubleType())
+def shingle_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
+    """``overlap_of`` for columns: slices of long strings cost a set of hashes here, and a quadratic scan inside SQL."""
+    return pd.Series([overlap_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(s):
+def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility normal form, which has no native function."""
-    import unicodedata
-
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 

@@ -112,7 +112,7 @@ def tables_of(texts: list[str]) -> list[tuple[int, list[list[str]] | None]]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("at", "int").add("rows", T.ArrayType(T.ArrayType(T.StringType())))))
+@F.pandas_udf(T.ArrayType(T.StructType().add("at", "integer").add("rows", T.ArrayType(T.ArrayType(T.StringType())))))
 def _tables(runs: pd.Series) -> pd.Series:
     return runs.map(lambda r: [{"at": i, "rows": t} for i, t in tables_of(list(r))])
 
