@@ -98,7 +98,7 @@ def file_key(data: bytes) -> bytes | None:
 def streams(data: bytes) -> list[tuple[int, bytes, bytes]]:
     """(object number, dictionary, decoded bytes) of each stream, within the limits."""
     out, key = [], file_key(data)
-    for m in re.finditer(rb"(\d+)\s+(\d+)\s+obj\b(.{0,2000}?)stream\r?\n", data, re.S):
+    for m in re.finditer(rb"(\d+)\s+(\d+)\s+obj\b((?:(?!endobj).){0,2000}?)stream\r?\n", data, re.S):
         if len(out) >= MOST_STREAMS:
             break
         end = data.find(b"endstream", m.end())
