@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import hashed_sample, stored
 from .components import components
 
 MIN_PIVOTS, MAX_PIVOTS = 256, 4096
@@ -81,7 +81,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.98, depth: int = 8,
     size = dim or (good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect() or [[1]])[0][0]
     good = good.filter(F.size("v") == size).dropDuplicates(["vec_id", "label", "v"])
     most = int(max(MIN_PIVOTS, min(MAX_PIVOTS, 2 * embeddings.count() ** 0.5)))
-    sample = good.orderBy(F.xxhash64("vec_id", "label"), "vec_id", "label").limit(8 * most).select("v").collect()  # bounded by 8 * MAX_PIVOTS
+    sample = hashed_sample(good, 8 * most, "vec_id", "label").select("v").collect()  # bounded by 8 * MAX_PIVOTS
     pivots = choose_pivots(_unit(np.array([r["v"] for r in sample])) if sample else np.zeros((0, size)), most)
     depth = min(depth, max(len(pivots), 1))
     shared = min(shared, depth)

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import hashed_sample
+
 NAMES = ("distinct_words", "repeated_neighbours", "upper", "letters", "digits", "marks", "mark_runs", "lone_marks", "distinct_lines", "log_words", "word_length", "longest_word")
 MAX_FIT, MAX_PAIRS = 20_000, 200_000
 
@@ -106,7 +108,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Rank
     """Fit on labelled rows outside the held-out fold."""
     known = labels.filter(F.col("quality").isNotNull() & (fold_of(F.col("doc_id")) != 1)).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     # At most max_fit small rows: the bound that allows the broadcast.
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit).select(F.col("doc_id").alias("fit_id"), "y")
+    chosen = hashed_sample(known, max_fit, "doc_id").select(F.col("doc_id").alias("fit_id"), "y")
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("fit_id")).select("doc_id", "y", "text")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
