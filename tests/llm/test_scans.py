@@ -191,3 +191,19 @@ def test_shingle_sets_are_as_large_as_sets_of_words(texts, k):
     for t, n in zip(texts, got, strict=True):
         w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOW))
         assert n == (len({tuple(w[i : i + k]) for i in range(len(w) - k + 1)}) if len(w) >= k else int(bool(w)))
+
+
+def test_bare_keys_beside_labelled_ones(spark):
+    """Most long unlabelled tokens are keys, a few are odd: the keys are neither learnt as ordinary nor the cut."""
+    rng = random.Random(8)
+    make = lambda: "zk-" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
+    word = lambda: "".join(rng.choice(["tion", "ing", "the", "er", "wh", "au"]) for _ in range(7))
+    odd = ["zk-" + "A" * 24, "zk-" + "9" * 24, "4929-1234-5678-9012-3456"]
+    rows = [(i, f"some prose with a word such as {word()} here, api_key={make()} there") for i in range(120)]
+    rows += [(1000 + i, f"more prose, {word()}, then {make()} and the rest") for i in range(150)]
+    rows += [(2000 + i, f"plain prose and {t} in it") for i, t in enumerate(odd * 4)] + [(3000 + i, f"only prose with {word()} in it") for i in range(60)]
+    got = {r.doc_id: r for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[1000 + i].n_format for i in range(150)) >= 145
+    assert sum(r.n_format for d, r in got.items() if d >= 3000 or d < 1000) == 0
+    at = rows[121][1].index("zk-")
+    assert got[1001].spans == f"format:{at}:{at + 27}"
