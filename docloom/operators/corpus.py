@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import SPACE, extension, trim
+from .metrics import distance
 
 # Extensions that conversion supports.
 SUPPORTED = ["ai", "csv", "docx", "gdoc", "htm", "html", "md", "pdf", "pptx", "svg", "txt", "xlsm", "xlsx", "xml"]
@@ -138,12 +139,13 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 def engine_scores(rows: DataFrame) -> DataFrame:
     """Rows (engine, key, strip, nfkc, n): mean character scores overall, by orientation and by font, from (engine, orientation, font, expected, actual)."""
-    def cer(f):
-        e, a = f(F.col("expected")), f(F.col("actual"))
-        return 1 - F.least(F.levenshtein(e, a) / F.greatest(F.length(e), F.lit(1)), F.lit(1.0))
-
+    cer = lambda errors, e: 1 - F.least(errors / F.greatest(F.length(e), F.lit(1)), F.lit(1.0))
     strip = lambda c: F.regexp_replace(c, rf"[{SPACE}]+", "")
-    each = rows.select("engine", "orientation", "font", cer(strip).alias("strip"), cer(lambda c: strip(nfkc(c))).alias("nfkc"))
+    t = rows.select("engine", "orientation", "font", *[f(F.col(c)).alias(f"{n}_{c}") for c in ("expected", "actual") for n, f in (("s", strip), ("n", lambda c: strip(nfkc(c))))])
+    # Texts that the normal form leaves alone are compared once.
+    other = (F.col("s_expected") != F.col("n_expected")) | (F.col("s_actual") != F.col("n_actual"))
+    t = t.withColumns({"s": distance("s_expected", "s_actual"), "n": distance(F.when(other, F.col("n_expected")), F.when(other, F.col("n_actual")))})
+    each = t.select("engine", "orientation", "font", cer(F.col("s"), F.col("s_expected")).alias("strip"), cer(F.coalesce("n", "s"), F.col("n_expected")).alias("nfkc"))
     keys = F.array(F.lit("overall"), F.concat(F.lit("orient:"), F.col("orientation")), F.concat(F.lit("font:"), F.col("font")))
     return each.select("engine", F.explode(keys).alias("key"), "strip", "nfkc").groupBy("engine", "key").agg(F.avg("strip").alias("strip"), F.avg("nfkc").alias("nfkc"), F.count("*").alias("n"))
 

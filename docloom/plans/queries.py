@@ -37,6 +37,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, d: str) -> DataFrame:
+    """Documents over all cores: a small file is one task, and whole texts are compared in quadratic time."""
+    return _t(spark, d, "documents").repartition(4 * spark.sparkContext.defaultParallelism)
+
+
 def _f(template: str, x: str) -> str:
     return template.replace("{}", x)
 
@@ -344,6 +349,18 @@ def q6_errors_by_group(spark, d):
     return metrics.character_errors_by_group(c).select("name", "errors")
 
 
+@query()
+def q5_whole_texts(spark, d):
+    c = metrics.character_errors(_spread(spark, d).select("doc_id", F.col("text").alias("expected"), F.reverse("text").alias("actual")), "doc_id")
+    return c.select("doc_id", "errors", F.round("score", 9).alias("score"))
+
+
+@query()
+def q6_whole_texts(spark, d):
+    c = _t(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.col("lang").alias("language"), (F.col("doc_id") % 2).cast("string").alias("orientation"), F.col("text").alias("expected"), F.col("source").alias("actual"))
+    return metrics.character_errors_by_group(c).select("name", "errors")
+
+
 @query()
 def q7_structure_preserved(spark, d):
     p = _t(spark, d, "documents").select("doc_id", F.concat(F.lit("# a\n- b\n"), "text").alias("before"), F.concat(F.lit("# a\n| b\n"), "text").alias("after"))
@@ -469,8 +486,8 @@ def r18_shingle_overlap(spark, d):
 
 @query()
 def r19_engine_scores(spark, d):
-    t = F.substring("text", 1, 80)
-    r = _t(spark, d, "documents").select(F.col("lang").alias("engine"), F.when(F.col("doc_id") % 2 == 0, "horizontal").otherwise("vertical").alias("orientation"), F.col("source").alias("font"), t.alias("expected"), F.reverse(t).alias("actual"))
+    t = F.col("text")
+    r = _spread(spark, d).select(F.col("lang").alias("engine"), F.when(F.col("doc_id") % 2 == 0, "horizontal").otherwise("vertical").alias("orientation"), F.col("source").alias("font"), t.alias("expected"), F.reverse(t).alias("actual"))
     e = corpus.engine_scores(r)
     return e.select("engine", "key", F.round("strip", 6).alias("strip"), F.round("nfkc", 6).alias("nfkc"), "n")
 

@@ -1,9 +1,12 @@
+import unicodedata
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docloom.operators import corpus, metrics
+from docloom.plans import queries
 from docloom.schema import BLOCKS
 
 
@@ -95,3 +98,36 @@ def test_overlap_is_a_share(a, b):
 def test_ctc(spark):
     r = spark.createDataFrame([([0, 1, 1, 0, 1, 2, 2],)], "p array<int>").select(corpus.ctc_greedy(F.col("p"), F.array(F.lit("a"), F.lit("b"))).alias("t")).first()
     assert r.t == "aab"
+
+
+def slow_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = i, i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last if x == y else 1 + min(last, row[j + 1], row[j])
+    return row[-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab日é\n𝄞", max_size=40), st.text("ab日é\n𝄞", max_size=40))
+def test_edit_distance(a, b):
+    assert metrics.edit_distance(a, b) == slow_distance(a, b)
+
+
+def test_whole_texts_are_compared(spark, tmp_path):
+    texts = ["日本語の文章です。" * 30, "plain words that go on " * 20 + "é", "", None, "ünï\nçødé " * 25, "z"]
+    rows = [(i, t, "ja" if i % 3 else "en", f"src{i}") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda n: queries.QUERIES[n](spark, str(tmp_path)).collect()
+    flat = lambda t, f: "".join(f(t).split())
+    cer = lambda a, b: 1 - min(slow_distance(a, b) / max(len(a), 1), 1)
+    assert {r.doc_id: r.errors for r in run("q5_whole_texts")} == {i: None if t is None else slow_distance(t, t[::-1]) for i, t in enumerate(texts)}
+    groups = {}
+    for i, t, g, s in rows:
+        a, b = groups.get(f"ocr_cer:{g}:{i % 2}", ("", ""))
+        groups[f"ocr_cer:{g}:{i % 2}"] = (a + (t or ""), b + s)
+    assert {r.name: r.errors for r in run("q6_whole_texts")} == {n: slow_distance(a, b) for n, (a, b) in groups.items()}
+    got = {r.key: (r.strip, r.nfkc) for r in run("r19_engine_scores") if r.key.startswith("font:")}
+    norm = lambda t: unicodedata.normalize("NFKC", t)
+    assert got == {f"font:src{i}": (0.0, 0.0) if t is None else tuple(round(cer(flat(t, f), flat(t[::-1], f)), 6) for f in (str, norm)) for i, t in enumerate(texts)}
