@@ -5,13 +5,13 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 Run = tuple[int, str, float | None, float | None, float | None]  # page, text, font size, x, y
-MOST_STREAMS, MOST_BYTES, MOST_LINES, SMALL = 128, 16 << 20, 20_000, 2 << 20
+MOST_BYTES, SMALL = 16 << 20, 2 << 20
 
 _STRING = re.compile(r"\((?:[^()\\]|\\.)*\)?|<(?!<)[^>]*>?", re.S)
 _ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
@@ -95,12 +95,12 @@ def file_key(data: bytes) -> bytes | None:
     return hashlib.md5(PAD + raw(owner)[:32] + (int(rights[1]) & 0xFFFFFFFF).to_bytes(4, "little") + raw(first)).digest()[:5]
 
 
-def streams(data: bytes) -> list[tuple[int, bytes, bytes]]:
-    """(object number, dictionary, decoded bytes) of each stream, within the limits."""
-    out, key = [], file_key(data)
+def streams(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
+    """(object number, dictionary, decoded bytes) of each stream in order, images apart; one is decoded at a time."""
+    key = file_key(data)
     for m in re.finditer(rb"(\d+)\s+(\d+)\s+obj\b((?:(?!endobj).){0,2000}?)stream\r?\n", data, re.S):
-        if len(out) >= MOST_STREAMS:
-            break
+        if b"/Subtype/Image" in m[3].replace(b" ", b""):
+            continue
         end = data.find(b"endstream", m.end())
         body = data[m.end() : end if end >= 0 else len(data)]
         if key:
@@ -111,11 +111,10 @@ def streams(data: bytes) -> list[tuple[int, bytes, bytes]]:
                 body = zlib.decompressobj().decompress(body, MOST_BYTES)
             except zlib.error:
                 continue
-        out.append((int(m[1]), m[3], body[:MOST_BYTES]))
-    return out
+        yield int(m[1]), m[3], body[:MOST_BYTES]
 
 
-def unicode_maps(all_streams: list[tuple[int, bytes, bytes]]) -> dict[int, dict[int, str]]:
+def unicode_maps(all_streams: Iterable[tuple[int, bytes, bytes]]) -> dict[int, dict[int, str]]:
     """Code to text of each ToUnicode stream, by object number."""
     out = {}
     for number, _, body in all_streams:
@@ -167,10 +166,9 @@ _OPERATOR = re.compile(rb"\((?:[^()\\]|\\.)*\)|<(?!<)[0-9a-fA-F\s]*>|\[|\]|/[^\s
 
 def raw_content_runs(data: bytes) -> list[Run]:
     """Runs of decompressed content streams, a line each."""
-    all_streams = streams(data)
-    fonts, out, page = _font_tables(data, unicode_maps(all_streams)), [], -1
-    for _, head, body in all_streams:
-        if not re.search(rb"\bBT\b", body) or b"/Subtype/Image" in head.replace(b" ", b""):
+    fonts, out, page = _font_tables(data, unicode_maps(streams(data))), [], -1
+    for _, _, body in streams(data):  # read again, so that no more than one is held
+        if not re.search(rb"\bBT\b", body):
             continue
         page += 1
         stack: list[bytes] = []
@@ -179,7 +177,7 @@ def raw_content_runs(data: bytes) -> list[Run]:
 
         def flush() -> None:
             text = "".join(line).strip()
-            if text and len(out) < MOST_LINES:
+            if text:
                 out.append((page, text, size, x, y))
             line.clear()
 

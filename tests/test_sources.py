@@ -202,3 +202,14 @@ def test_stream(spark, tmp_path):
 def test_from_bytes_of_any_table(spark):
     df = spark.createDataFrame([(7, "<p>hey.</p>")], "k int, body string")
     assert convert(from_bytes(df, F.lit("a.html"), "body", "k")).results().first().markdown == "hey.\n"
+
+
+def test_pdf_with_many_streams_and_lines():
+    """Images and fonts come first, the map of the last page's font comes last; more lines than 20,000 stay."""
+    stream = lambda n, head, body: b"%d 0 obj << %s >> stream\n%s\nendstream endobj\n" % (n, head, body)
+    images = b"".join(stream(n, b"/Subtype /Image", b"BT (no) Tj ET") for n in range(1, 91)) + b"".join(stream(n, b"/Length1 9", b"\x00\x01") for n in range(91, 181))
+    pages = b"".join(stream(n, b"", b"BT (Page %d) Tj ET" % n) for n in range(200, 260))
+    many = stream(300, b"", b"BT " + b"".join(b"0 1 Td (line %d) Tj " % i for i in range(21_000)) + b"ET")
+    last = b"301 0 obj << /ToUnicode 303 0 R >> endobj\n" + stream(302, b"/Font << /F9 301 0 R >>", b"BT /F9 9 Tf <010203> Tj ET") + stream(303, b"", b"1 beginbfrange\n<01> <03> <0041>\nendbfrange")
+    got = [r[1] for r in pdf_source.raw_content_runs(b"%PDF-1.4\n" + images + pages + many + last)]
+    assert got == [f"Page {n}" for n in range(200, 260)] + [f"line {i}" for i in range(21_000)] + ["ABC"]
