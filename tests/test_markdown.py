@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import blocks_text, html, markdown
 from docloom.operators.markdown import inline_text, wrap_item, wrap_text
+from docloom.plans import queries
 from docloom.schema import BLOCKS
 
 
@@ -133,3 +134,22 @@ def test_markdown_round_trip(spark):
 def test_line_diff(spark):
     r = spark.createDataFrame([("a\nb\nc\n", "a\nx\n")], "a string, b string").select(blocks_text.line_diff(F.col("a"), F.col("b")).alias("d")).first()
     assert r.d == "--- before\n+++ after\n@@\n a\n-b\n+x\n-c\n"
+
+
+def test_registered_wrapping_keeps_documents_with_long_tokens(spark, tmp_path):
+    texts = ["short  words\n" * 20, "before " * 15 + "x" * 200 + " after", "é" * 81, None, "", "y" * 80 + " " + "z" * 80]
+
+    def brute(text):
+        lines = [""]
+        for t in text.split():
+            if len(t) > 80:
+                lines += [t[i : i + 80] for i in range(0, len(t), 80)]
+            elif not lines[-1] or len(lines[-1]) + 1 + len(t) > 80:
+                lines.append(t)
+            else:
+                lines[-1] += " " + t
+        return "\n".join(x for x in lines if x)
+
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.lines for r in queries.QUERIES["w7_wrapped_text"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else brute(t) for i, t in enumerate(texts)}
