@@ -88,7 +88,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10, block
     item = found.select("doc_id", "_h", F.explode("item_ids").alias("item")).distinct().groupBy("doc_id", "_h")
     items = item.agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list(F.col("item").cast("string"))), ",").alias("item_list"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_h"] == b["_h"])
-    met = covered.join(items, same(covered, items)).select(covered["doc_id"], covered["_h"], "n_hit", "n_items", "item_list")
+    # A window of items without an id names no item, but its words are hit all the same.
+    met = covered.join(items, same(covered, items), "left").select(covered["doc_id"], covered["_h"], "n_hit", "n_items", "item_list")
     base = scanned.filter("start IS NULL").select("doc_id", "_h", "n_words")
     return base.join(met, same(base, met), "left").select(
         base["doc_id"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),

@@ -207,3 +207,10 @@ def test_bare_keys_beside_labelled_ones(spark):
     assert sum(r.n_format for d, r in got.items() if d >= 3000 or d < 1000) == 0
     at = rows[121][1].index("zk-")
     assert got[1001].spans == f"format:{at}:{at + 27}"
+
+
+def test_items_without_an_id_contaminate(spark):
+    docs = spark.createDataFrame([(1, "one alone in the world two"), (2, "only prose"), (3, "both alone in the world and quite another passage")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, "alone in the world"), (7, "quite another passage")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.item_list, r.contaminated) for r in decontam.contamination(docs, benchmark).collect()}
+    assert got == {1: (4, 0, "", True), 2: (0, 0, "", False), 3: (7, 1, "7", True)}
