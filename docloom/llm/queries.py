@@ -22,7 +22,7 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secrets(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format", "n_likely")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
