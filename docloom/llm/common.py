@@ -31,25 +31,38 @@ def scratch_root(spark: SparkSession) -> str:
     return sc._docloom_scratch
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/docloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{scratch_root(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+    """A new path in this session's part of the shared folder."""
+    return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there and any executor can read it."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
-def forget(spark: SparkSession, *dfs: DataFrame) -> None:
-    """Delete what ``stored`` wrote for tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
+
+def forget(*dfs: DataFrame) -> None:
+    """Delete tables that ``stored`` gave and that nothing reads any more."""
     for df in dfs:
-        for f in df.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(df.sparkSession, df._stored_at)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that this session stored: to be called once the results are written elsewhere."""
+    _delete(spark, _session_folder(spark))
 
 
 def input_bytes(df: DataFrame) -> int:

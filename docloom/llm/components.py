@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-
-#: Up to so many links are joined in one task, which saves the passes; the result is the same.
-FEW = 100_000
+from .common import forget, stored
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,34 +27,36 @@ def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, ids[np.array(up, np.int64)] if len(ids) else ids
 
 
-def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if parts:
-        ids, label = joined(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(label, pa.int64())], names=["id", "label"])
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Rows (id, label) for each id of ``edges`` (a, b); the label is the smallest id that links reach.
 
     Each pass points every id at its smallest neighbour, follows pointers twice, and contracts the links to those
     labels, so stars vanish in one pass and paths shrink by a factor. Each pass is stored, so a lost executor costs one pass.
+    All sizes take this path; partial aggregates keep an id of many links from gathering them in one task.
     """
     e = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    if e.count() <= FEW:
-        return stored(e.coalesce(1).mapInArrow(_in_one_task, "id long, label long"), "labels")
-    labels = None
-    while not e.isEmpty():
+    labels, left = None, not e.isEmpty()
+    while left or labels is None:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("to"))
-        up = stored(up, "pointers")
+        near = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("to")), "pointers")
+        up = near
         for _ in range(2):
-            nxt = up.select(F.col("id").alias("via"), F.col("to").alias("far"))
-            up = up.join(nxt, F.col("to") == F.col("via"), "left").select("id", F.coalesce("far", "to").alias("to"))
+            up = _followed(up, "to", near)
         up = stored(up, "pointers")
-        new = up if labels is None else labels.join(up.select(F.col("id").alias("was"), "to"), F.col("label") == F.col("was"), "left").select("id", F.coalesce("to", "label").alias("label"))
-        labels = stored(new.select("id", F.col("to").alias("label")) if labels is None else new, "labels")
-        l, r = up.select(F.col("id").alias("ia"), F.col("to").alias("ta")), up.select(F.col("id").alias("ib"), F.col("to").alias("tb"))
-        e = e.join(l, F.col("a") == F.col("ia")).join(r, F.col("b") == F.col("ib")).filter("ta <> tb")
-        e = stored(e.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "links")
+        new = stored(up.withColumnRenamed("to", "label") if labels is None else _followed(labels, "label", up), "labels")
+        e2 = _followed(_followed(e, "a", up), "b", up).filter("a <> b")
+        e2 = stored(e2.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        forget(e, near, up, *([] if labels is None else [labels]))
+        e, labels, left = e2, new, not e2.isEmpty()
+    forget(e)
     return labels
+
+
+def _followed(df: DataFrame, column: str, pointers: DataFrame) -> DataFrame:
+    """``df`` with the ids of ``column`` replaced by what ``pointers`` (id, to) say of them.
+
+    Both sides are stored tables, so where one label is that of very many rows, the adaptive planner splits them.
+    """
+    told = pointers.select(F.col("id").alias("_id"), F.col("to").alias("_to"))
+    met = df.join(told, F.col(column) == F.col("_id"), "left")
+    return met.select(*[F.coalesce("_to", c).alias(c) if c == column else F.col(c) for c in df.columns])

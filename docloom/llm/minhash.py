@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, stored
+from .common import forget, shuffle_width, stored
 from .components import components, joined
 from .shingles import buffers, mix, shingle_sets
 
 ROWS = 5
 BATCH = 16
-CHUNK = 1024
+#: Members, and bytes of their sets, of a chunk: two chunks meet in a task.
+CHUNK, CHUNK_BYTES = 512, 32 << 20
 #: Ids of a neighbourhood up to which its ids meet once, not once a bucket.
 HOOD = 4096
 
@@ -85,7 +86,7 @@ def signatures(docs: DataFrame, k: int, bands: int, hashes: int, rows: int = ROW
 
 
 def likely(pairs: DataFrame, hashes: int, threshold: float, prune: float) -> DataFrame:
-    """The rows (a, b) of ``pairs`` (a, b, sig_a, sig_b) that sequential verification does not prune."""
+    """The first two columns of the rows of ``pairs`` (a, b, sig_a, sig_b) that sequential verification does not prune."""
     steps = least_matches(hashes, threshold, prune)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +100,7 @@ def likely(pairs: DataFrame, hashes: int, threshold: float, prune: float) -> Dat
                     alive = alive[m[alive] >= least]
                 yield part.select([0, 1]).take(pa.array(alive))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, pairs.select(*pairs.columns[:2]).schema)
 
 
 def set_table(texts: DataFrame, k: int) -> DataFrame:
@@ -195,14 +196,20 @@ def meet_in_blocks(rows: DataFrame, hashes: int, num: int, den: int, prune: floa
 
 
 def verified(pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The rows (a, b) of ``pairs`` (a, b, text_a, text_b) whose full sets meet den * intersection >= num * union."""
+    """The rows (a, b) of ``pairs`` (a, b, text_a, text_b) whose full sets meet den * intersection >= num * union.
+
+    Neighbouring rows often share ``text_b``, whose set is then made once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
-                for j, (x, y) in enumerate(zip(shingle_sets(part.column(2), k), shingle_sets(part.column(3), k), strict=True)):
+                other = part.column(3).dictionary_encode()
+                sets = list(shingle_sets(other.dictionary, k))
+                for j, (x, at) in enumerate(zip(shingle_sets(part.column(2), k), other.indices.to_pylist(), strict=True)):
+                    y = sets[at]
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if both and den * both >= num * (len(x) + len(y) - both):
                         good.append(i + j)
@@ -211,62 +218,81 @@ def verified(pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _renamed(df: DataFrame, **names: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(n) for n, c in names.items()])
+
+
+def star_links(live: DataFrame, compared: DataFrame, texts: DataFrame, k: int, num: int, den: int, hashes: int, prune: float) -> DataFrame:
+    """Links (a, b) between the members of each bucket and its pivot: rows (id, key, pivot, n) with the bucket's size n.
+
+    A pivot's text meets its members in parts of ``CHUNK``, so a large bucket is no single task.
+    """
+    pairs = live.filter("id <> pivot").groupBy("id", "pivot").agg(F.max("n").alias("n"))
+    pairs = pairs.join(_renamed(compared, ia="id", sig_a="sig"), F.col("id") == F.col("ia")).join(_renamed(compared, ib="id", sig_b="sig"), F.col("pivot") == F.col("ib"))
+    packed = F.struct("pivot", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK)).alias("part"))
+    near = likely(pairs.select("id", packed.alias("to"), "sig_a", "sig_b"), hashes, num / den, prune)
+    near = stored(near.select("id", "to.pivot", "to.part").distinct(), "likely")
+    ends = near.select("pivot", "part").distinct().join(_renamed(texts, t_id="id", text_b="text"), F.col("pivot") == F.col("t_id"))
+    met = near.join(_renamed(texts, ta="id", text_a="text"), F.col("id") == F.col("ta")).select("id", "pivot", "part", "text_a")
+    met = met.join(_renamed(ends, e_pivot="pivot", e_part="part", text_b="text_b"), (F.col("pivot") == F.col("e_pivot")) & (F.col("part") == F.col("e_part")))
+    out = stored(verified(met.select("id", "pivot", "text_a", "text_b"), k, num, den).distinct(), "links")
+    forget(near)
+    return out
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100, miss: float = 1e-6, prune: float = 1e-9) -> DataFrame:
     """A row per row of ``documents``: doc_id, n_shingles, component_id, kept; sets of ``k`` words, links at num/den and more."""
-    threshold = num / den
-    bands, hashes = banding(threshold, miss)
-    rows = documents.select("doc_id", "text")
-    known = rows.filter("doc_id IS NOT NULL")
-    feats = stored(signatures(known.select(F.col("doc_id").alias("id"), "text"), k, bands, hashes), "signatures")
-    full = feats.filter("n > 0")
-    # One row for each class of equal sets; the smallest id stands for it.
-    classes = full.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
+    bands, hashes = banding(num / den, miss)
+    rows = documents.select(F.col("doc_id").alias("id"), "text")
+    feats = stored(signatures(rows, k, bands, hashes), "signatures")
+    full = feats.filter("id IS NOT NULL AND n > 0")
+    # One row for each class of equal sets; the smallest id stands for it. Aggregates that a hot key joins are stored first:
+    # between two stored tables the adaptive planner splits such a key.
+    classes = stored(full.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
     member = stored(full.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("id", "rep").distinct(), "members")
     reps = stored(full.join(member.filter("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "s1", "s2"]), "representatives")
-    entries = reps.select("id", F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
-    live = stored(entries.join(shared, "key").distinct(), "buckets")
-    ids = live.select("id").distinct()
-    compared = stored(reps.join(ids, "id", "left_semi").select("id", "sig", "bands"), "compared")
-    texts = stored(known.join(ids, known["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text").distinct(), "texts")
+    entries = reps.select("id", F.col("n").alias("size"), F.explode("bands").alias("key"))
+    shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", "key"), "id")).alias("p"))
+    shared = stored(shared.filter("lo < hi").select("key", "n", F.col("p.id").alias("pivot")), "shared")
+    live = stored(entries.join(shared, "key").groupBy("id", "key", "n", "pivot").agg(F.max("size").alias("size")), "buckets")
+    ids = stored(live.select("id").distinct(), "live")
+    compared = stored(reps.join(ids, "id", "left_semi").select("id", "n", "sig", "bands"), "compared")
+    texts = stored(rows.filter("id IS NOT NULL").join(ids, "id", "left_semi").distinct(), "texts")
     # Ids with rows of several sets tie those sets' classes together.
-    links = [member.filter("id <> rep").join(member.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id"), "id").select(F.col("rep").alias("a"), F.col("id").alias("b"))]
-    def told(pairs: DataFrame) -> DataFrame:
-        """Links among ``pairs`` (a, b), verified on full sets."""
-        ta, tb = texts.select(F.col("id").alias("ia"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("ib"), F.col("text").alias("text_b"))
-        met = pairs.join(ta, F.col("a") == F.col("ia")).join(tb, F.col("b") == F.col("ib")).select("a", "b", "text_a", "text_b")
-        return stored(verified(met, k, num, den).distinct(), "links")
-
+    ties = member.filter("id <> rep").join(member.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id"), "id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     # First a star in each bucket, around a pivot of its own, so that groups join without comparing their members.
-    pivots = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key"), "id")).alias("p")).select(F.col("key").alias("p_key"), F.col("p.id").alias("pivot"))
-    pairs = live.join(pivots, F.col("key") == F.col("p_key")).filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    sa, sb = compared.select(F.col("id").alias("ia"), F.col("sig").alias("sig_a")), compared.select(F.col("id").alias("ib"), F.col("sig").alias("sig_b"))
-    pairs = pairs.join(sa, F.col("a") == F.col("ia")).join(sb, F.col("b") == F.col("ib")).select("a", "b", "sig_a", "sig_b")
-    links.append(told(likely(pairs, hashes, threshold, prune).distinct()))
-    labels = components(links[0].unionByName(links[1]))
+    star = star_links(live, compared, texts, k, num, den, hashes, prune)
+    labels = components(ties.unionByName(star))
     # Then members of a bucket that are still apart meet in blocks, and only a link for each id joined comes out.
-    now = live.join(labels.withColumnRenamed("id", "l_id"), F.col("id") == F.col("l_id"), "left").select("id", "key", F.coalesce("label", "id").alias("label"))
-    apart = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("least"), F.count("*").alias("n")).filter("lo < hi")
-    apart = apart.select(F.col("key").alias("a_key"), "least", F.col("n").alias("bucket"))
-    rest = stored(now.join(apart, F.col("key") == F.col("a_key")).select("id", "key", "label", "least", "bucket"), "apart")
+    now = live.join(labels.withColumnRenamed("id", "l_id"), F.col("id") == F.col("l_id"), "left").select("id", "key", "size", F.coalesce("label", "id").alias("label"))
+    weight = F.sum(8 * F.col("size") + 2 * hashes).alias("bytes")
+    apart = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("least"), F.count("*").alias("n"), weight).filter("lo < hi")
+    apart = stored(apart.select(F.col("key").alias("a_key"), "least", F.col("n").alias("b_n"), F.col("bytes").alias("b_bytes")), "apart-keys")
+    rest = stored(now.join(apart, F.col("key") == F.col("a_key")).drop("a_key"), "apart")
     # Buckets that share members form a neighbourhood, in which each id is needed once; where one grows large, its buckets meet apart.
-    near = components(rest.select(F.col("id").alias("a"), F.col("least").alias("b")))
-    sizes = near.groupBy("label").agg(F.count("*").alias("n")).select(F.col("label").alias("s_label"), "n")
-    near = near.join(sizes, F.col("label") == F.col("s_label")).select(F.col("id").alias("n_id"), F.col("label").alias("hood"), "n")
-    rest = rest.join(near, F.col("id") == F.col("n_id"))
-    small = rest.filter(F.col("n") <= HOOD).groupBy("id", "label").agg(F.first("hood").alias("grp"), F.first("n").alias("n")).withColumn("by_key", F.lit(False))
-    large = rest.filter(F.col("n") > HOOD).select("id", "label", F.col("key").alias("grp"), F.col("bucket").alias("n"), F.lit(True).alias("by_key"))
-    sets = set_table(texts.join(rest.select(F.col("id").alias("r_id")).distinct(), F.col("id") == F.col("r_id"), "left_semi"), k)
-    full_rows = small.unionByName(large).join(compared.withColumnRenamed("id", "c_id"), F.col("id") == F.col("c_id")).join(sets.withColumnRenamed("id", "t_id"), F.col("id") == F.col("t_id"))
-    found_links = meet_in_blocks(full_rows.select("id", "label", "grp", "by_key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), "sig", "bands", "set"), hashes, num, den, prune, shuffle_width(documents.sparkSession) * 8)
-    links.append(stored(found_links.distinct(), "links"))
-    labels = components(links[0].unionByName(links[1]).unionByName(links[2]))
+    hoods = components(rest.select(F.col("id").alias("a"), F.col("least").alias("b")))
+    alone = rest.groupBy("id", "label").agg(F.max("size").alias("size"))
+    placed = stored(alone.join(_renamed(hoods, n_id="id", hood="label"), F.col("id") == F.col("n_id")).drop("n_id"), "near")
+    sizes = stored(placed.groupBy("hood").agg(F.count("*").alias("h_n"), weight.alias("h_bytes")).withColumnRenamed("hood", "s_hood"), "sizes")
+    near = placed.join(sizes, F.col("hood") == F.col("s_hood")).drop("s_hood")
+    chunks = lambda n, size: F.greatest(F.ceil(F.col(n) / CHUNK), F.ceil(F.col(size) / CHUNK_BYTES)).cast("int").alias("chunks")
+    small = near.filter(F.col("h_n") <= HOOD).select("id", "label", F.col("hood").alias("grp"), F.lit(False).alias("by_key"), chunks("h_n", "h_bytes"))
+    wide = near.filter(F.col("h_n") > HOOD).select(F.col("id").alias("w_id"))
+    large = rest.join(wide.distinct(), F.col("id") == F.col("w_id")).select("id", "label", F.col("key").alias("grp"), F.lit(True).alias("by_key"), chunks("b_n", "b_bytes"))
+    asked = stored(small.unionByName(large), "asked")
+    sets = set_table(texts.join(asked.select(F.col("id").alias("r_id")).distinct(), F.col("id") == F.col("r_id"), "left_semi"), k)
+    full_rows = asked.join(_renamed(compared, c_id="id", sig="sig", bands="bands"), F.col("id") == F.col("c_id")).join(_renamed(sets, t_id="id", set="set"), F.col("id") == F.col("t_id"))
+    # Groups of one chunk share tasks, as many to each as measured bytes allow.
+    held = asked.filter("chunks = 1").join(_renamed(compared, c_id="id", n="n"), F.col("id") == F.col("c_id")).agg(F.sum(8 * F.col("n") + 2 * hashes)).first()[0] or 0
+    slots = max(8 * shuffle_width(documents.sparkSession), -(-held // CHUNK_BYTES))
+    blocks = stored(meet_in_blocks(full_rows.select("id", "label", "grp", "by_key", "chunks", "sig", "bands", "set"), hashes, num, den, prune, slots).distinct(), "links")
+    again = components(ties.unionByName(star).unionByName(blocks))
     top = member.groupBy("id").agg(F.min("rep").alias("rep"))
-    top = top.join(labels.select(F.col("id").alias("l_id"), "label"), F.col("rep") == F.col("l_id"), "left").select(F.col("id").alias("m_id"), F.coalesce("label", "rep").alias("label"))
+    top = top.join(_renamed(again, l_id="id", label="label"), F.col("rep") == F.col("l_id"), "left").select(F.col("id").alias("m_id"), F.coalesce("label", "rep").alias("label"))
     found = feats.select("id", "n").join(top, F.col("id") == F.col("m_id"), "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
-    found = found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    nameless = signatures(rows.filter("doc_id IS NULL").select(F.col("doc_id").alias("id"), "text"), k, bands, hashes)
-    return found.unionByName(nameless.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
+    found = stored(found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
+    forget(feats, classes, member, reps, shared, live, ids, compared, texts, star, labels, apart, rest, hoods, placed, sizes, asked, blocks, again)
+    return found
 
 
 def keep_one(documents: DataFrame, **parameters) -> DataFrame:

@@ -95,10 +95,10 @@ def test_near_duplicates_match_brute_force(documents, k, num):
 def test_a_large_group_of_near_copies(spark, prose_of, monkeypatch, tight):
     import random
 
-    if tight:  # large neighbourhoods by bucket, several chunks, components in passes
+    if tight:  # large neighbourhoods by bucket, chunks of few members and of few bytes
         monkeypatch.setattr(minhash, "HOOD", 50)
         monkeypatch.setattr(minhash, "CHUNK", 64)
-        monkeypatch.setattr(components, "FEW", 5)
+        monkeypatch.setattr(minhash, "CHUNK_BYTES", 40_000)
     rng = random.Random(3)
     base = prose_of(rng, 150).split(" ")
     rows = []
@@ -112,6 +112,31 @@ def test_a_large_group_of_near_copies(spark, prose_of, monkeypatch, tight):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, k=3, num=85).collect()} == want
 
 
+def test_half_of_all_rows_are_one_text(spark, prose_of):
+    import random
+
+    rng = random.Random(6)
+    text = prose_of(rng, 60)
+    rows = [(i, text) for i in range(5, 605)] + [(1000 + i, prose_of(rng, 60)) for i in range(590)] + [(2000 + i, text + f" more{i}") for i in range(10)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=85).collect()}
+    assert all(c == (5 if d < 1000 or d >= 2000 else d) for d, c in got.items()) and len(got) == 1200
+
+
+def test_stored_tables_go(spark, empty, documents):
+    from docloom.llm import common
+
+    a = common.stored(documents, "a")
+    common.forget(a)
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(a._stored_at)
+    here = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert not here.exists(fs)
+    minhash.near_duplicates(empty).count()
+    assert here.exists(fs.getParent())
+    left = len(here.listStatus(fs.getParent()))
+    minhash.near_duplicates(empty).count()
+    assert len(here.listStatus(fs.getParent())) == left + 1  # the result alone stays
+
+
 def test_near_duplicates_of_nothing(empty):
     assert minhash.near_duplicates(empty).count() == 0
     assert minhash.keep_one(empty).columns == empty.columns
@@ -124,9 +149,7 @@ def test_keep_one_keeps_columns(clashing):
     assert kept.filter("doc_id BETWEEN 101 AND 104").count() == 0
 
 
-@pytest.mark.parametrize("few", [5, 100_000])
-def test_components_of_a_long_path(spark, monkeypatch, few):
-    monkeypatch.setattr(components, "FEW", few)
+def test_components_of_a_long_path(spark):
     n = 200
     order = np.random.default_rng(1).permutation(n)
     edges = spark.createDataFrame([(int(order[i]), int(order[i + 1])) for i in range(n - 1)] + [(1000, 1001), (1001, 1002), (5000, 5000)], "a long, b long")
