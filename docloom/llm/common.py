@@ -74,6 +74,11 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once: an expression used inside another function's lambda is evaluated for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ascii_lower(c: Column) -> Column:
     """Only A-Z change; ``lower`` would also change other letters."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -195,6 +195,21 @@ def test_line_dedup_keeps_columns_and_clean_documents(clashing, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_a_very_long_document_and_a_very_common_window(spark):
+    """100,000 lines of which half repeat in short runs; one window in half of all documents."""
+    import time
+
+    common = "same one\nsame two\nsame three"
+    long = "\n".join(f"line {i}\na {i % 7}\nb\nc" for i in range(25_000))
+    rows = [(i, f"head {i}\n{common}\ntail {i}" if i % 2 else f"only {i}\nown {i}\nlines {i}") for i in range(4_000)] + [(5_000, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in line_dedup.line_counts(df).collect()}
+    assert time.time() - began < 60  # linear: a square would take hours
+    want = {d: (n, k, t) for (d, n, k, t) in deduped_lines([(d, t, 0) for d, t in rows])}
+    assert got == want and got[5_000][1] > 0 and got[3][1] == 3
+
+
 VECS = "vec_id long, embedding array<float>, label int"
 
 
