@@ -106,15 +106,56 @@ def test_secrets_match_scoring_of_every_run(spark, documents, prose_of):
     assert got == want and sum("format" in s for _, s in got) > 50
 
 
+WRAPPED = {
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:',
+    "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.",
+    "Apache-2.0": '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0',
+    "GPL": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "MPL": " * This Source Code Form is subject to the terms of the Mozilla Public\r\n * License, v. 2.0. If a copy of the MPL was not distributed with this\r\n * file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+}
+ONE_LINE = {
+    "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL",
+    "// SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: BSD-3-Clause": "BSD", "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL", "We ship this under the terms of the ISC license": "ISC",
+}
+UNSEEN = ["Eclipse Public License 2.0", "CeCILL license version 2.1", "Nokia Open Source License", "Lucent Public License 1.02", "Open Data Commons License", "NASA Open Source Agreement 1.3 license", "Motosoto License", "Intel Open Source License", "Vovida Software License 1.0", "RealNetworks Public Source License", "Xnet License"]
+NO_LICENCE = ["The Apache helicopter needs no license.", "I bought a fishing license.", "He got permission to leave.", "MIT students study the general public.", "The copyright office opened again on Monday.", "nothing here", "The warranty covers a year.", "Tous les jours, la licence de la pub est permise"]
+
+
 def test_licences(spark, empty):
-    rows = [(i, "Words of no licence at all.\n" + t + "\nMore words.") for i, t in enumerate(["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "nothing here"])]
-    rows += [(10, None), (11, ""), (12, "All rights reserved."), (0, rows[0][1]), (None, rows[1][1]), (13, "word " * 20_000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h": F.lit(1), "g": F.lit(2), "family": F.lit("x")})
-    got = Counter((r.doc_id, r.n_paragraphs, r.n_license, r.n_unknown, r.families) for r in licenses.licenses(df, max_fit=200).collect())
-    assert got == Counter([(0, 3, 1, 0, "MIT")] * 2 + [(1, 3, 1, 0, "CC-BY-NC"), (None, 3, 1, 0, "CC-BY-NC"), (2, 3, 1, 0, "Apache-2.0"), (3, 3, 1, 0, "GPL"), (4, 3, 0, 0, ""), (10, 0, 0, 0, ""), (11, 1, 0, 0, ""), (12, 1, 0, 1, ""), (13, 1, 0, 0, "")])
+    """Wrapped notices, one-line uses, licences that no fit has seen, and sentences that license nothing."""
+    rows, want = [], {}
+    for i, (f, t) in enumerate(WRAPPED.items()):
+        rows.append((i, f"Words of no licence at all.\n{t}\n\nMore words."))
+        want[i] = (f, 0)
+    for i, (t, f) in enumerate(ONE_LINE.items()):
+        rows.append((100 + i, f"some words\nthe end.\n{t}"))
+        want[100 + i] = (f, 0)
+    for i, n in enumerate(UNSEEN):
+        rows.append((200 + i, f"Some words.\nLicensed under the {n}."))
+        want[200 + i] = ("", 1)
+    for i, t in enumerate(NO_LICENCE):
+        rows.append((300 + i, t))
+        want[300 + i] = ("", 0)
+    rows += [(400, None), (401, ""), (402, "All rights reserved."), (100, rows[5][1]), (None, rows[5][1]), (403, "word " * 20_000 + "license"), (404, "\n\n \n")]
+    want |= {400: ("", 0), 401: ("", 0), 402: ("", 1), 403: ("", 0), 404: ("", 0), None: want[100]}
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h": F.lit(1), "g": F.lit(2), "family": F.lit("x"), "at": F.lit(3), "p": F.lit("y")})
+    got = licenses.licenses(df, max_fit=200).collect()
+    assert len(got) == len(rows) and sum(r.doc_id == 100 for r in got) == 2
+    assert {r.doc_id: (r.families, r.n_unknown) for r in got} == want
+    counts = {r.doc_id: r.n_paragraphs for r in got}
+    assert (counts[400], counts[401], counts[402], counts[404], counts[100]) == (0, 0, 1, 0, 2)
     assert licenses.licenses(empty, max_fit=10).count() == 0
 
 
+def test_licences_of_unseen_wording(spark):
+    """Names in carriers that neither the fit nor its calibration has: at least 95 of 100 right."""
+    carriers = ["Everything here may be used under the {}.", "This repository has the {} licence.", "licence: {} (see COPYING)", "It ships with a {} license file."]
+    rows = [(i * 100 + j * 10 + k, c.replace("{}", n), f) for i, (f, ns) in enumerate(licenses.NAMES.items()) for j, n in enumerate(ns[:4]) for k, c in enumerate(carriers)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, f string")
+    got = {r.doc_id: r.families for r in licenses.licenses(df.drop("f"), max_fit=0).collect()}
+    assert sum(got[d] == f for d, _, f in rows) >= 0.95 * len(rows)
+
+
 def contaminated(docs, items, n=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
     grams = {}
