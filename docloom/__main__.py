@@ -15,11 +15,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-o", "--output", help="folder for a Markdown file a document; without it texts go to standard output")
     p.add_argument("--tables", help="folder for Parquet tables of results, blocks, warnings and reports")
     p.add_argument("--config")
+    p.add_argument("--recursive", action="store_true")
     p.add_argument("--flavor")
     p.add_argument("--format")
     p.add_argument("--ocr")
     p.add_argument("--llm")
     p.add_argument("--translate")
+    for service in ("provider", "recognizer", "rasterizer"):
+        p.add_argument(f"--{service}", help="a function, as module:name")
+    p.add_argument("--filter", action="append", default=[], help="a registered block filter")
     for flag in ("extract-media", "inline-base64-media", "restructure", "strict", "consent-external-send"):
         p.add_argument(f"--{flag}", action="store_true")
     return p
@@ -49,11 +53,21 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
+    from .integrations import ocr
+    from .integrations.services import Services, named
+    from .operators import report
     from .plans.convert import convert, extracted_media
     from .sources import files, sinks
 
+    recognize = named(args.recognizer) if args.recognizer else ocr.command_recognizer(o.ocr) if o.ocr not in ("none", "auto") else None
+    services = Services(named(args.provider) if args.provider else None, recognize, named(args.rasterizer) if args.rasterizer else None, tuple(args.filter))
+    try:
+        services.check(o)
+    except ValueError as e:
+        print(e)
+        return 2
     spark = SparkSession.builder.appName("docloom").getOrCreate()
-    c = convert(files.files(spark, args.input), o)
+    c = convert(files.files(spark, args.input, recursive=args.recursive), o, services=services)
     results = c.results()
     if o.strict and (bad := results.filter("status = 'error'").count()):
         print(f"{bad} document(s) with warnings")
@@ -61,10 +75,13 @@ def main(argv: list[str] | None = None) -> int:
     if args.tables:
         sinks.write_tables(c, args.tables)
     if args.output:
-        sinks.write_files(results.withColumn("file", F.concat("name", F.lit(".html" if o.format == "html" else ".md"))), args.output, "file", "markdown")
+        named_files = sinks.file_names(results, "name").withColumn("file", F.concat("file", F.lit(".html" if o.format == "html" else ".md")))
+        sinks.write_files(named_files, args.output, "file", "markdown")
         if o.extract_media:
-            docs = files.files(spark, args.input).withColumn("fmt", files.detected_format(F.col("name"), F.lit(None).cast("binary")))
-            sinks.write_files(extracted_media(docs, convert(files.files(spark, args.input), replace(o, extract_media=None)).blocks), o.extract_media, "path", "content")
+            found = files.files(spark, args.input, recursive=args.recursive)
+            docs = found.withColumn("fmt", files.detected_format(F.col("name"), F.lit(None).cast("binary")))
+            media = extracted_media(docs, convert(found, replace(o, extract_media=None), services=services).blocks)
+            sinks.write_files(media.withColumn("file", report.media_file(F.col("doc_id"), F.col("path"))).dropDuplicates(["file"]), o.extract_media, "file", "content")
     elif not args.tables:
         for r in results.orderBy("name").toLocalIterator():
             print(r["markdown"], end="")

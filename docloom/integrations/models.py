@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, base64, mime_type, trim
-from ..operators.blocks_text import markdown_blocks, prompt_markdown, text_length
+from ..operators.blocks_text import line_diff, markdown_blocks, prompt_markdown, text_length
 from ..options import LOCAL_BACKENDS, Options
 from ..schema import BLOCK
+from .services import once
 
 Provider = Callable[[dict], str]
 # What each task asks for where no prompt is configured.
@@ -94,10 +95,11 @@ def rejections(task: str, before: DataFrame, after: DataFrame) -> DataFrame:
     return m.select("doc_id", reason.alias("reason"))
 
 
-def filtered(blocks: DataFrame, provider: Provider, task: str, options: Options) -> tuple[DataFrame, DataFrame]:
-    """(blocks, warnings): accepted responses replace a document's blocks; failures and refusals leave them and say why."""
+def filtered(blocks: DataFrame, provider: Provider, task: str, options: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks, warnings, diffs): accepted responses replace a document's blocks, and the change is a line diff (doc_id, task, diff);
+    failures and refusals leave the blocks and say why."""
     source = prompt_markdown(blocks)
-    called = completed(source, provider, task, options)
+    called = once(completed(source, provider, task, options))
     after = markdown_blocks(called.filter("response IS NOT NULL"), "response")
     why = source.select("doc_id").join(called.select("doc_id", "error"), "doc_id", "left").join(rejections(task, blocks, after), "doc_id", "left")
     tried = F.lit(may_send(options))
@@ -111,7 +113,28 @@ def filtered(blocks: DataFrame, provider: Provider, task: str, options: Options)
     good = why.filter("ok").select("doc_id")
     columns = ["doc_id", "pos", *BLOCK]
     new = blocks.join(good, "doc_id", "left_anti").select(*columns).unionByName(after.join(good, "doc_id", "left_semi").select(*columns))
-    return new, why.select("doc_id", F.lit(f"llm:{task}").alias("stage"), message.alias("warning"))
+    was, now = source.withColumnRenamed("markdown", "was"), prompt_markdown(after).withColumnRenamed("markdown", "now")
+    diffs = good.join(was, "doc_id").join(now, "doc_id").select("doc_id", F.lit(task).alias("task"), line_diff(F.col("was"), F.col("now")).alias("diff"))
+    return new, why.select("doc_id", F.lit(f"llm:{task}").alias("stage"), message.alias("warning")), diffs
+
+
+def described(images: DataFrame, provider: Provider, options: Options) -> DataFrame:
+    """Rows (doc_id, pos, description, error) for images (doc_id, pos, context, mime_type, data_base64); without consent none is sent."""
+    head, backend, task = prompt("vision:describe", options), options.llm, "vision:describe"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said: list[tuple[str | None, str | None]] = []
+            for context, kind, data in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                try:
+                    text = provider({"backend": backend, "task": task, "input": f"{head}\n\n{context}", "images": [{"mime_type": kind, "data_base64": data}]})
+                    said.append((text, None) if text.strip() else (None, "empty image description"))
+                except Exception as e:  # noqa: BLE001  a failed call is a row
+                    said.append((None, str(e)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.string())], names=["doc_id", "pos", "description", "error"])
+
+    asked = images.filter(F.lit(may_send(options))).select("doc_id", "pos", "context", "mime_type", "data_base64")
+    return once(asked.mapInArrow(run, "doc_id long, pos int, description string, error string"))
 
 
 def images_to_describe(blocks: DataFrame, media: DataFrame) -> DataFrame:

@@ -46,6 +46,21 @@ def recognized(images: DataFrame, recognize: Recognizer) -> DataFrame:
     return images.select("doc_id", "page", "content").mapInArrow(run, "doc_id long, page int, text string, error string")
 
 
+def rasterized(files: DataFrame, rasterize: Callable[[bytes], list[bytes]]) -> DataFrame:
+    """Rows (doc_id, page, content) of page images of files (doc_id, content); a file that cannot be drawn has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                try:
+                    pages = rasterize(content.as_py() or b"")
+                except Exception:  # noqa: BLE001  the file stays without recognized pages and says so in its status
+                    pages = []
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(pages), pa.int64()), pa.array(range(len(pages)), pa.int32()), pa.array(pages, pa.binary())], names=["doc_id", "page", "content"])
+
+    return files.select("doc_id", "content").mapInArrow(run, "doc_id long, page int, content binary")
+
+
 def pages_to_read(pages: DataFrame, whole_documents: DataFrame) -> DataFrame:
     """Pages (doc_id, page, lines) without text, and all pages of documents (doc_id) that need recognition."""
     blank = pages.filter("size(lines) = 0")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import attribute, collapse, plain, trim
+from ..functions.text import attribute, collapse, lossy_text, plain, trim
 from ..schema import BLOCK, block
 
 
@@ -47,7 +47,7 @@ def _texts(x: Column, name: str) -> Column:
 
 
 def _part(parts: DataFrame, name: str, alias: str) -> DataFrame:
-    return parts.filter(F.col("part") == name).select(F.col("doc_id").alias(f"{alias}_doc"), F.decode("content", "UTF-8").alias(alias))
+    return parts.filter(F.col("part") == name).select(F.col("doc_id").alias(f"{alias}_doc"), lossy_text(F.col("content")).alias(alias))
 
 
 def _with(df: DataFrame, parts: DataFrame, name: str, alias: str) -> DataFrame:
@@ -55,6 +55,12 @@ def _with(df: DataFrame, parts: DataFrame, name: str, alias: str) -> DataFrame:
     return df.join(p, df["doc_id"] == p[f"{alias}_doc"], "left").drop(f"{alias}_doc")
 
 
+def byte_warnings(parts: DataFrame) -> DataFrame:
+    """Rows (doc_id, seq, stage, warning) for XML parts with bytes that are no UTF-8: these were replaced."""
+    bad = parts.filter("part IS NOT NULL").filter(F.try_validate_utf8(F.col("content").cast("string")).isNull() & F.col("content").isNotNull())
+    return bad.select("doc_id", F.lit(0).alias("seq"), F.lit("package").alias("stage"), F.concat(F.lit("bytes that are no UTF-8 were replaced in "), "part").alias("warning"))
+
+
 # --- Word -----------------------------------------------------------------------------------------------------------
 
 _BLOCK_TAG = re.compile(r"<(w:p|w:tbl)(?=[\s>/])[^>]*>")
@@ -173,7 +179,7 @@ def slides(parts: DataFrame) -> DataFrame:
     """Rows (doc_id, slide, xml, rels): slides by rank; relationships are paired by rank too, as they were numbered."""
     def ranked(pattern: str, alias: str) -> DataFrame:
         n = F.regexp_extract("part", pattern, 1)
-        p = parts.filter(F.col("part").rlike(rf"\A{pattern}\z")).select("doc_id", n.try_cast("int").alias("no"), F.decode("content", "UTF-8").alias(alias))
+        p = parts.filter(F.col("part").rlike(rf"\A{pattern}\z")).select("doc_id", n.try_cast("int").alias("no"), lossy_text(F.col("content")).alias(alias))
         p = p.filter(trim(F.col(alias)) != "")
         return p.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("no")).alias("slide"), alias)
 
@@ -269,7 +275,7 @@ def merges(x: Column) -> Column:
 def sheets(parts: DataFrame) -> DataFrame:
     """Rows (doc_id, sheet, n_sheets, xml, strings, merges)."""
     n = F.regexp_extract("part", r"sheet([0-9]+)\.xml", 1).try_cast("int")
-    s = parts.filter(F.col("part").startswith("xl/worksheets/")).select("doc_id", n.alias("no"), F.decode("content", "UTF-8").alias("xml")).filter(trim(F.col("xml")) != "")
+    s = parts.filter(F.col("part").startswith("xl/worksheets/")).select("doc_id", n.alias("no"), lossy_text(F.col("content")).alias("xml")).filter(trim(F.col("xml")) != "")
     doc = Window.partitionBy("doc_id")
     s = s.select("doc_id", F.row_number().over(doc.orderBy("no")).alias("sheet"), F.count("*").over(doc).alias("n_sheets"), "xml")
     return _with(s, parts, "xl/sharedStrings.xml", "ss").select("doc_id", "sheet", "n_sheets", "xml", shared_strings(F.col("ss")).alias("strings"), merges(F.col("xml")).alias("merges"))

@@ -193,10 +193,24 @@ def status_of(ocr_required: Column, latin1: Column) -> Column:
     return F.when(~ocr_required, "ok").when(latin1.contains("/Encrypt"), F.concat(F.lit("error: "), security_description(latin1))).otherwise(F.concat(F.lit("error: ocr_required "), no_text_diagnosis(latin1)))
 
 
-def merge_ocr_pages(pages: DataFrame, ocr: DataFrame) -> DataFrame:
-    """Lines of pages (doc_id, page, lines) with OCR text (doc_id, page, text) instead where there is some."""
-    met = pages.join(ocr.select("doc_id", "page", lines(F.col("text")).alias("read")), ["doc_id", "page"], "full_outer")
-    return met.select("doc_id", "page", F.coalesce("read", "lines").alias("lines"))
+def merge_ocr_pages(runs: DataFrame, ocr: DataFrame) -> DataFrame:
+    """Runs (doc_id, page, ord, text, font_size) with the lines of recognized pages (doc_id, page, text) instead where there are some."""
+    read = ocr.filter(trim(F.col("text")) != "").select("doc_id", "page", F.posexplode(lines(F.col("text"))).alias("ord", "text"), F.lit(None).cast("double").alias("font_size"))
+    native = runs.select("doc_id", "page", "ord", "text", "font_size").join(read.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
+    return native.unionByName(read)
+
+
+def judged(candidates: DataFrame, files: DataFrame) -> DataFrame:
+    """The best candidate of each file (doc_id, content): rows (doc_id, backend, ocr_required, status, runs) over all extractors' runs."""
+    run = F.struct("page", "ord", "text", "font_size", "x", "y")
+    g = candidates.groupBy("doc_id", "rank", "backend").agg(F.bool_or("failed").alias("failed"), F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), run))).alias("runs"))
+    g = g.join(files.select("doc_id", F.decode("content", "ISO-8859-1").alias("latin1")), "doc_id")
+    g = g.withColumn("text", F.array_join(F.transform("runs", lambda r: r["text"]), "\n"))
+    has, text, latin1 = F.size("runs") > 0, F.col("text"), F.col("latin1")
+    g = g.withColumn("ocr_required", ~has | looks_mojibake(text) | looks_incomplete(latin1, text))
+    need = F.col("ocr_required")
+    g = g.select("doc_id", "rank", "backend", "runs", "ocr_required", (has & ~F.col("failed")).alias("usable"), result_score(text, has, F.col("failed"), need).alias("score"), status_of(need, latin1).alias("status"))
+    return best_result(g)
 
 
 def plain_headings(documents: DataFrame, text_col: str = "text") -> DataFrame:

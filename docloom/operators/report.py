@@ -43,9 +43,9 @@ def features(options: Options, has_media: Column) -> Column:
 
 
 def rewrite_media(blocks: DataFrame, media: DataFrame, folder: str | None = None) -> DataFrame:
-    """``blocks`` with image paths replaced: by ``folder``/file, or by data URIs of ``media`` (doc_id, path, content)."""
+    """``blocks`` with image paths replaced: by ``folder``/document/file, or by data URIs of ``media`` (doc_id, path, content)."""
     if folder is not None:
-        to = lambda p: F.when(p.isNotNull(), F.concat(F.lit(folder.rstrip("/") + "/"), F.regexp_extract(p, r"([^/]*)\z", 1)))
+        to = lambda p: F.when(p.isNotNull(), F.concat(F.lit(folder.rstrip("/") + "/"), media_file(F.col("doc_id"), p)))
         cells = lambda c: F.struct(c["text"].alias("text"), c["rowspan"].alias("rowspan"), c["colspan"].alias("colspan"), to(c["image"]).alias("image"))
         return blocks.withColumns({"path": to(F.col("path")), "rows": F.transform("rows", lambda r: F.struct(F.transform(r["cells"], cells).alias("cells")))})
     uris = media.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("path", data_uri(F.col("path"), F.col("content")).alias("uri")))).alias("uris"))
@@ -55,6 +55,11 @@ def rewrite_media(blocks: DataFrame, media: DataFrame, folder: str | None = None
     return b.withColumns({"path": to(F.col("path")), "rows": F.transform("rows", lambda r: F.struct(F.transform(r["cells"], cells).alias("cells")))}).drop("u_doc", "uris")
 
 
+def media_file(doc_id: Column, path: Column) -> Column:
+    """Where a document's picture is put: a folder for each document, as nearly all packages call their first picture alike."""
+    return F.concat(doc_id.cast("string"), F.lit("/"), F.regexp_extract(path, r"([^/]*)\z", 1))
+
+
 def package_part(path: Column) -> Column:
     """The member of a Word package that an image path names."""
     return F.when(path.startswith("word/"), path).otherwise(F.concat(F.lit("word/media/"), F.regexp_replace(path, r"\A(?:\./)?media/", "")))

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_vector_image
-from ..operators import html, markdown, office, pdf, report
+from ..functions.text import base64, is_vector_image, mime_type
+from ..integrations import models, ocr, plugins
+from ..integrations.services import Services, once
+from ..operators import blocks_text, html, markdown, office, pdf, report
 from ..options import Options
 from ..schema import BLOCK
 from ..sources import files as src
@@ -31,6 +33,8 @@ class Conversion:
     warnings: DataFrame  # seq, stage, warning
     metadata: DataFrame  # seq, key, value
     options: Options
+    errors: DataFrame | None = None  # doc_id, error: documents that failed as a whole
+    diffs: DataFrame | None = None  # task, diff: what a model changed
 
     def markdown(self) -> DataFrame:
         """Rows (doc_id, markdown); a document without blocks has an empty text."""
@@ -63,12 +67,13 @@ class Conversion:
         return report.report_json(self.reports())
 
     def results(self) -> DataFrame:
-        """Rows (doc_id, name, fmt, status, markdown): ``error`` for warned documents if strict, else ok or empty."""
+        """Rows (doc_id, name, fmt, status, n_warnings, error, markdown): ``error`` for failed documents and, if strict, for warned ones, else ok or empty."""
         r = self.documents.join(self.markdown(), "doc_id")
         bad = self.warnings.groupBy("doc_id").agg(F.count("*").alias("n_warnings"))
         r = r.join(bad, "doc_id", "left").na.fill(0, ["n_warnings"])
-        status = F.when(F.lit(self.options.strict) & (F.col("n_warnings") > 0), "error").when(F.trim("markdown") == "", "empty").otherwise("ok")
-        return r.select("doc_id", "name", "fmt", status.alias("status"), "n_warnings", "markdown")
+        r = r.join(self.errors, "doc_id", "left") if self.errors is not None else r.withColumn("error", F.lit(None).cast("string"))
+        status = F.when(F.col("error").isNotNull() | (F.lit(self.options.strict) & (F.col("n_warnings") > 0)), "error").when(F.trim("markdown") == "", "empty").otherwise("ok")
+        return r.select("doc_id", "name", "fmt", status.alias("status"), "n_warnings", "error", "markdown")
 
 
 def _warned(df: DataFrame, stage: str, text: Column | str) -> DataFrame:
@@ -76,16 +81,39 @@ def _warned(df: DataFrame, stage: str, text: Column | str) -> DataFrame:
     return df.select("doc_id", F.lit(0).cast("long").alias("seq"), F.lit(stage).alias("stage"), t.alias("warning"))
 
 
-def convert(inputs: DataFrame, options: Options = Options(), formats: list[str] | None = None, as_files: bool = True) -> Conversion:
+def _pdf(files: DataFrame, options: Options, services: Services) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks, warnings, errors) of PDF files: the best extractor's runs, recognized pages where text is missing; what still needs recognition fails."""
+    best = pdf.judged(pdf_source.text_objects(files, all_candidates=True), files)
+    runs = best.select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.page", "r.ord", "r.text", "r.font_size")
+    bad = best.filter("ocr_required")
+    if options.ocr != "none":
+        images = ocr.rasterized(files, services.rasterize)
+        pages = images.select("doc_id", "page").join(runs.groupBy("doc_id", "page").agg(F.collect_list("text").alias("lines")), ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("lines", F.array().cast("array<string>")).alias("lines"))
+        asked = images.join(ocr.pages_to_read(pages, bad.select("doc_id")), ["doc_id", "page"], "left_semi")
+        read = once(ocr.recognized(asked, services.recognize))
+        runs = pdf.merge_ocr_pages(runs, read)
+        bad = bad.join(read.filter(F.trim("text") != "").select("doc_id"), "doc_id", "left_anti")
+    runs = runs.join(bad.select("doc_id"), "doc_id", "left_anti")
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "ord")) - 1
+    made = pdf.text_blocks(runs.select("doc_id", order.alias("ord"), "text", "font_size"))
+    message = F.concat(F.lit("PDF text extraction produced no text with backend "), "backend", F.lit(". A full PDF backend or OCR may be required."))
+    said = _warned(best.filter("NOT usable"), "pdf", message).unionByName(_warned(files, "pdf", "PDF parser extracts text objects; coordinates and layout inference are limited."))
+    return made, said, bad.select("doc_id", F.regexp_replace("status", r"\Aerror: ", "").alias("error"))
+
+
+def convert(inputs: DataFrame, options: Options = Options(), formats: list[str] | None = None, as_files: bool = True, services: Services = Services()) -> Conversion:
     """Convert rows (doc_id, name, length, content). With ``formats`` only branches of those formats are planned.
 
+    Options that need a model, a recognizer or a rasterizer use those of ``services`` and fail without them.
     ``as_files`` unzips packages; bytes alone (``as_files=False``) are never unzipped, as in-memory XML parts may be given instead.
     """
     docs = inputs.withColumn("fmt", src.detected_format(F.col("name"), F.col("content")))
     docs = docs.withColumn("parse_fmt", src.parse_format(F.col("fmt"), F.col("content")))
     f = F.col("parse_fmt")
     wanted = lambda *names: not formats or bool(set(names) & set(formats))
+    services.check(options)
     blocks: list[DataFrame] = []
+    errors: list[DataFrame] = []
     warnings: list[DataFrame] = []
     metadata: list[DataFrame] = [docs.select("doc_id", F.lit(0).alias("seq"), F.lit("bytes").alias("key"), F.when(_is_known(f), F.col("length").cast("string")).otherwise("not_read").alias("value"))]
     metadata.append(docs.filter(F.col("fmt") != f).select("doc_id", F.lit(1).alias("seq"), F.lit("container_format").alias("key"), f.alias("value")))
@@ -97,19 +125,20 @@ def convert(inputs: DataFrame, options: Options = Options(), formats: list[str]
         blocks.append(src.text_blocks(docs.filter(f.isin(*src.TEXTS))))
     if wanted("pdf", "ai"):
         d = docs.filter(f == "pdf")
-        runs = pdf_source.text_objects(d)
-        found = runs.filter("text IS NOT NULL")
-        blocks.append(pdf.text_blocks(found.select("doc_id", (F.col("rank") * 10_000_000 + F.col("ord")).alias("ord"), "text", "font_size")))
-        none = runs.filter("text IS NULL")
-        message = F.concat(F.lit("PDF text extraction produced no text with backend "), F.col("backend"), F.lit(". A full PDF backend or OCR may be required."))
-        blocks.append(src.unsupported_blocks(none, F.lit("")).withColumn("text", F.lit(None).cast("string")).join(none.select("doc_id", message.alias("m")), "doc_id").withColumn("text", F.col("m")).select(*_COLUMNS))
-        warnings.append(_warned(none, "pdf", message))
-        warnings.append(_warned(d, "pdf", "PDF parser extracts text objects; coordinates and layout inference are limited."))
+        made, said, failed = _pdf(d, options, services)
+        blocks.append(made)
+        warnings.append(said)
+        errors.append(failed)
     if as_files and wanted(*src.PACKAGES):
         parts = packages.parts(docs.filter(f.isin(*src.PACKAGES)).select("doc_id", "content"))
-        for make, warn in ((office.word_blocks, office.word_warnings), (office.slide_blocks, office.slide_warnings), (office.sheet_blocks, office.sheet_warnings), (office.opendocument_blocks, office.opendocument_warnings)):
-            blocks.append(make(parts))
-            warnings.append(warn(parts))
+        for names, make, warn in (
+            (("docx",), office.word_blocks, office.word_warnings), (("pptx",), office.slide_blocks, office.slide_warnings),
+            (("xlsx", "xlsm"), office.sheet_blocks, office.sheet_warnings), (("odt", "ods", "odp"), office.opendocument_blocks, office.opendocument_warnings),
+        ):
+            if wanted(*names):
+                blocks.append(make(parts))
+                warnings.append(warn(parts))
+        warnings.append(office.byte_warnings(parts))
         bad = docs.filter(f.isin(*src.PACKAGES)).join(parts.filter("part IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti")
         blocks.append(src.unsupported_blocks(bad, f))
         warnings.append(_warned(bad, "package", F.concat(F.lit("could not read package of format "), f)))
@@ -124,8 +153,15 @@ def convert(inputs: DataFrame, options: Options = Options(), formats: list[str]
         warnings.append(_warned(rest, "package", F.when(f == "docx", "DOCX byte conversion cannot unzip in-memory input; use convert_file for DOCX.").when(f.isin("odt", "ods", "odp"), F.concat(F.upper(f), F.lit(" byte conversion cannot unzip in-memory input; use convert_file for OpenDocument."))).otherwise(F.concat(F.lit("could not read "), f, F.lit(" package from in-memory bytes")))))
     if wanted(*src.IMAGES):
         pictures = docs.filter(f.isin(*src.IMAGES))
-        blocks.append(src.unsupported_blocks(pictures, F.lit("image input")))
-        warnings.append(_warned(pictures, "image", "image input requires --llm with a vision-capable backend."))
+        if services.provider and models.may_send(options):
+            asked = pictures.select("doc_id", F.lit(0).alias("pos"), F.lit("").alias("context"), mime_type(F.col("name")).alias("mime_type"), base64(F.col("content")).alias("data_base64"))
+            told = models.described(asked, services.provider, options)
+            blocks.append(blocks_text.markdown_blocks(told.filter("description IS NOT NULL"), "description"))
+            warnings.append(_warned(told.filter("error IS NOT NULL"), "image", F.concat(F.lit("image description failed: "), "error")))
+            blocks.append(src.unsupported_blocks(pictures.join(told.filter("error IS NOT NULL"), "doc_id", "left_semi"), F.lit("image input")))
+        else:
+            blocks.append(src.unsupported_blocks(pictures, F.lit("image input")))
+            warnings.append(_warned(pictures, "image", "image input requires --llm with a vision-capable backend."))
     if not formats or "other" in formats:
         other = docs.filter(~_is_known(f))
         blocks.append(src.unsupported_blocks(other, f))
@@ -136,6 +172,16 @@ def convert(inputs: DataFrame, options: Options = Options(), formats: list[str]
     said = warnings[0].select("doc_id", F.col("seq").cast("long").alias("seq"), "stage", "warning") if warnings else _warned(docs.limit(0), "none", "")
     for w in warnings[1:]:
         said = said.unionByName(w.select("doc_id", F.col("seq").cast("long").alias("seq"), "stage", "warning"))
+    diffs = None
+    tasks = (["restructure"] if options.restructure else []) + ([f"translate:{options.translate}"] if options.translate else [])
+    for task in tasks:
+        open_ = docs.filter(f.isin("html", "pdf", *src.TEXTS)).select("doc_id")  # packages and pictures are never sent
+        new, told, change = models.filtered(every.join(open_, "doc_id", "left_semi"), services.provider, task, options)
+        every = every.join(open_, "doc_id", "left_anti").select(*_COLUMNS).unionByName(new.select(*_COLUMNS))
+        said = said.unionByName(told.select("doc_id", F.lit(1).cast("long").alias("seq"), "stage", "warning"))
+        diffs = change if diffs is None else diffs.unionByName(change)
+    if services.filters:
+        every = plugins.apply(every, *services.filters)
     metadata.append(every.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(99).alias("seq"), F.lit("nodes").alias("key"), F.col("n").cast("string").alias("value")))
     meta = metadata[0]
     for m in metadata[1:]:
@@ -144,7 +190,7 @@ def convert(inputs: DataFrame, options: Options = Options(), formats: list[str]
         every = report.rewrite_media(every, docs, options.extract_media)
     elif options.inline_base64_media and as_files:
         every = report.rewrite_media(every, extracted_media(docs, every))
-    return Conversion(docs.select("doc_id", "name", "fmt", "parse_fmt", "length"), every, said, meta, options)
+    return Conversion(docs.select("doc_id", "name", "fmt", "parse_fmt", "length"), every, said, meta, options, errors[0] if errors else None, diffs)
 
 
 def _is_known(f: Column) -> Column:

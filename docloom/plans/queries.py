@@ -122,7 +122,7 @@ def m3_media_candidates(spark, d):
     return report.media_candidates(html.html_blocks(_nation_pages(spark, d))).select("doc_id", "path", "source", "confidence")
 
 
-@query("SELECT n_regionkey::BIGINT AS doc_id, 'out/' || n_regionkey || '.png' AS path FROM nation GROUP BY 1, 2")
+@query("SELECT n_regionkey::BIGINT AS doc_id, 'out/' || n_regionkey || '/' || n_regionkey || '.png' AS path FROM nation GROUP BY 1, 2")
 def m5_rewrite_media(spark, d):
     return report.rewrite_media(html.html_blocks(_nation_pages(spark, d)), None, "out").filter("kind = 'image'").select("doc_id", "path")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, extension, trim
+from ..functions.text import SPACE, extension, lossy_text, trim
 from ..schema import BLOCK, block
 
 # Formats by how they are read.
@@ -41,11 +41,6 @@ def parse_format(fmt: Column, content: Column) -> Column:
     return F.when((fmt == "ai") & (F.substring(content, 1, 4) == F.lit(b"%PDF")), "pdf").otherwise(fmt)
 
 
-def lossy_text(content: Column) -> Column:
-    """Bytes as UTF-8; what is invalid is replaced."""
-    return F.make_valid_utf8(content.cast("string"))
-
-
 def strict_text(content: Column) -> Column:
     """Bytes as UTF-8; an invalid text is empty."""
     return F.coalesce(F.try_validate_utf8(content.cast("string")), F.lit(""))

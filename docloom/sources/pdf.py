@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import signal
+import threading
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -164,8 +166,8 @@ def decoded(b: bytes, table: dict[int, str] | None, encoding: str | None = None)
 _OPERATOR = re.compile(rb"\((?:[^()\\]|\\.)*\)|<(?!<)[0-9a-fA-F\s]*>|\[|\]|/[^\s/\[\]()<>]+|[-+]?(?:\d+\.?\d*|\.\d+)|[A-Za-z'\"*]+", re.S)
 
 
-def raw_content_runs(data: bytes) -> list[Run]:
-    """Runs of decompressed content streams, a line each."""
+def raw_content_runs(data: bytes, mapped_only: bool = False) -> list[Run]:
+    """Runs of decompressed content streams, a line each; with ``mapped_only`` only strings in fonts with a Unicode map."""
     fonts, out, page = _font_tables(data, unicode_maps(streams(data))), [], -1
     for _, _, body in streams(data):  # read again, so that no more than one is held
         if not re.search(rb"\bBT\b", body):
@@ -182,6 +184,8 @@ def raw_content_runs(data: bytes) -> list[Run]:
             line.clear()
 
         def show(t: bytes) -> None:
+            if mapped_only and table is None:
+                return
             raw = _hex_bytes(t.decode("latin-1")) if t[:1] == b"<" else _literal(t.decode("latin-1")).encode("latin-1", "replace")
             line.append(decoded(raw, table, encoding))
 
@@ -216,9 +220,28 @@ def raw_content_runs(data: bytes) -> list[Run]:
     return out
 
 
-#: Extractors by name, and the orders in which they are tried: small files, large files.
-BACKENDS: dict[str, Callable[[bytes], list[Run]]] = {"raw-content": raw_content_runs, "internal-text-objects": internal_runs}
-ORDER = ["raw-content", "internal-text-objects"]
+def font_map_runs(data: bytes) -> list[Run]:
+    """Runs of fonts with Unicode maps alone; none unless their text is long and plain enough to be trusted."""
+    runs = raw_content_runs(data, True)
+    text = "".join(t for _, t, _, _, _ in runs)
+    ink = [c for c in text if not c.isspace()]
+    controls = sum(1 for c in text if (ord(c) < 32 or 127 <= ord(c) < 160) and c not in "\n\r\t")
+    letters = sum(1 for c in ink if c.isalpha())
+    return runs if len(ink) >= 100 and controls * 20 < len(text) and letters * 3 > len(ink) else []
+
+
+def page_texts(data: bytes) -> list[str]:
+    """The text of each page that shows any, a line a run."""
+    pages: dict[int, list[str]] = {}
+    for page, text, _, _, _ in raw_content_runs(data):
+        pages.setdefault(page, []).append(text)
+    return ["\n".join(pages[p]) for p in sorted(pages)]
+
+
+#: Extractors by name, in the order in which they are tried; in files above ``SMALL`` bytes the second comes first. Both are read
+#: when a plan is made.
+BACKENDS: dict[str, Callable[[bytes], list[Run]]] = {"raw-content": raw_content_runs, "font-maps": font_map_runs, "internal-text-objects": internal_runs}
+ORDER = ["raw-content", "font-maps", "internal-text-objects"]
 
 
 def register_backend(name: str, extract: Callable[[bytes], list[Run]], first: bool = False) -> None:
@@ -228,15 +251,36 @@ def register_backend(name: str, extract: Callable[[bytes], list[Run]], first: bo
     ORDER.insert(0 if first else len(ORDER), name)
 
 
+def limited(extract: Callable[[bytes], list[Run]], seconds: float) -> Callable[[bytes], list[Run]]:
+    """An extractor that raises ``TimeoutError`` after so many seconds; it must run in a process's main thread, as Spark's workers do."""
+
+    def stop(*_) -> None:
+        raise TimeoutError(f"stopped after {seconds} s")
+
+    def run(data: bytes) -> list[Run]:
+        if threading.current_thread() is not threading.main_thread():
+            return extract(data)
+        before = signal.signal(signal.SIGALRM, stop)
+        signal.setitimer(signal.ITIMER_REAL, seconds)
+        try:
+            return extract(data)
+        finally:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+
+    return run
+
+
 RUNS = "doc_id long, rank int, backend string, failed boolean, page int, ord int, text string, font_size double, x double, y double"
 
 
-def text_objects(files: DataFrame, order: list[str] | None = None, all_candidates: bool = False) -> DataFrame:
+def text_objects(files: DataFrame, order: list[str] | None = None, all_candidates: bool = False, seconds: float = 120.0) -> DataFrame:
     """Rows of runs of each file (doc_id, content): those of the first extractor that finds any, or of all.
 
-    A file without runs has one row with a null text; an extractor that raises is marked failed.
+    A file without runs has one row with a null text; an extractor that raises or takes longer than ``seconds`` is marked failed.
     """
-    chosen = {n: BACKENDS[n] for n in (order or ORDER)}
+    names_in_order = list(order or ORDER)
+    chosen = {n: limited(BACKENDS[n], seconds) for n in names_in_order}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "rank", "backend", "failed", "page", "ord", "text", "font_size", "x", "y"]
@@ -244,9 +288,10 @@ def text_objects(files: DataFrame, order: list[str] | None = None, all_candidate
         for b in batches:
             for doc, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 data, rows = content.as_py() or b"", []
-                for rank, (name, extract) in enumerate(chosen.items()):
+                now = [*names_in_order[1::-1], *names_in_order[2:]] if len(data) > SMALL else names_in_order
+                for rank, name in enumerate(now):
                     try:
-                        runs, failed = extract(data), False
+                        runs, failed = chosen[name](data), False
                     except Exception:  # noqa: BLE001  a broken file is a row, not a failed job
                         runs, failed = [], True
                     rows += [(doc, rank, name, failed, p, i, t, s, x, y) for i, (p, t, s, x, y) in enumerate(runs)] or [(doc, rank, name, failed, None, None, None, None, None, None)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..operators import corpus
@@ -17,20 +17,36 @@ def write_tables(conversion, path: str, mode: str = "overwrite") -> None:
         df.write.mode(mode).parquet(f"{path}/{name}")
 
 
-def write_files(df: DataFrame, folder: str, name: str, content: str) -> None:
-    """A file for each row, by the executors, in a folder that they share; names lose what is not safe in a file name."""
+def file_names(df: DataFrame, name: str, doc: str = "doc_id") -> DataFrame:
+    """``df`` with ``file``: a safe base name of ``name``; where several documents would have one, each gets its id in front of it."""
+    base = F.regexp_replace(F.regexp_extract(name, r"([^/]*)/*\z", 1), r"[^\p{L}\p{N}._-]", "_")
+    named = df.withColumn("file", F.when(base.isin("", ".", ".."), "_").otherwise(base))
+    return named.withColumn("file", F.when(F.count("*").over(Window.partitionBy("file")) > 1, F.concat(F.col(doc).cast("string"), F.lit("-"), "file")).otherwise(F.col("file")))
+
+
+def write_files(df: DataFrame, folder: str, path: str, content: str) -> None:
+    """A file for each row at ``folder``/``path``, by the executors: a folder that they share, or a URI of a file system that they reach.
+
+    Two rows of one path are an error, found before anything is written.
+    """
+    twice = df.groupBy(path).agg(F.count("*").alias("n")).filter("n > 1").select(path).limit(3).collect()
+    if twice:
+        raise ValueError(f"several files would be called {', '.join(r[0] for r in twice)}")
 
     def write(rows: Iterator[Row]) -> None:
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
         for r in rows:
-            safe = "".join(c if c.isalnum() or c in "._-" else "_" for c in os.path.basename(r[0]))
+            target = f"{root}/{r[0]}"
+            head, _, name = target.rpartition("/")
+            system.create_dir(head, recursive=True)
             data = r[1].encode() if isinstance(r[1], str) else bytes(r[1])
-            part = os.path.join(folder, f".{safe}.part")
-            with open(part, "wb") as f:
+            with system.open_output_stream(f"{head}/.{name}.part") as f:
                 f.write(data)
-            os.replace(part, os.path.join(folder, safe))  # whole or not at all, also when a task is tried again
+            system.move(f"{head}/.{name}.part", target)  # whole or not at all, also when a task is tried again
 
-    df.select(name, content).foreachPartition(write)
+    df.select(path, content).foreachPartition(write)
 
 
 def comparison_report(pairs: DataFrame, limit: int = 50) -> str:

@@ -67,7 +67,7 @@ def test_slides(spark):
 def test_sheets(spark):
     cells = '<row></row><row><c r="A1"/></c><c r="B1" t="s"><v>0</v></c><c r="C1"><f>1+1</f><v>2</v></c></row><row><c r="A2"><v></v></c><c r="B2" t="inlineStr"><is><t>in</t></is></c><c r="C2"><v>7</v></c></row><row><c r="A3"><v> </v></c></row>'
     c = converted(spark, "a.xlsx", package(**{"xl/worksheets/sheet1.xml": f"<worksheet>{cells}</worksheet>", "xl/sharedStrings.xml": "<sst><si><t>shared</t><rPh><t>reading</t></rPh></si></sst>"}))
-    assert c.markdown().first().markdown == "| shared | 2 |\n| --- | --- |\n| in | 7 |\n" or "| in | 7 |" in c.markdown().first().markdown
+    assert c.markdown().first().markdown == "| shared | 2 |\n| --- | --- |\n| in | 7 |\n"
     merged = '<worksheet><row><c r="A1" t="inlineStr"><is><t>Head</t></is></c></row><row><c r="A2"><v>1</v></c><c r="B2"><v>2</v></c></row><mergeCell ref="A1:B1"/></worksheet>'
     c = converted(spark, "b.xlsx", package(**{"xl/worksheets/sheet1.xml": merged, "xl/worksheets/sheet2.xml": merged}))
     out = c.markdown().first().markdown
@@ -79,7 +79,7 @@ def test_opendocument_and_bad_packages(spark):
     x = '<office:text><text:h text:outline-level="9">Head</text:h><text:p> a <text:span>b</text:span> </text:p><text:p/><table:table><table:table-row><table:table-cell><text:p>c</text:p></table:table-cell></table:table-row></table:table></office:text>'
     assert converted(spark, "a.odt", package(**{"content.xml": x})).markdown().first().markdown.startswith("# Head\n\na b\n")
     c = converted(spark, "a.docx", b"not a zip")
-    assert c.results().first().markdown == "# Unsupported input format: docx\n" or "Unsupported input format: docx" in c.results().first().markdown
+    assert c.results().first().markdown == "Unsupported input format: docx\n"
 
 
 def test_text_like_and_unsupported(spark):
@@ -134,26 +134,28 @@ def test_pdf_words_scores_and_pages(spark):
     assert [r[0] for r in d.select(pdf.no_text_diagnosis(F.col("x"))).collect()] == ["image_only", "missing_unicode_maps", "unknown"]
     pages = spark.createDataFrame([(1, 0, []), (1, 1, ["native"])], "doc_id long, page int, lines array<string>")
     read = spark.createDataFrame([(1, 0, "ocr a\nocr b\n")], "doc_id long, page int, text string")
-    assert {r.page: r.lines for r in pdf.merge_ocr_pages(pages, read).collect()} == {0: ["ocr a", "ocr b"], 1: ["native"]}
+    runs = spark.createDataFrame([(1, 0, 0, "bad", 9.0), (1, 1, 1, "native", 9.0)], "doc_id long, page int, ord int, text string, font_size double")
+    assert sorted((r.page, r.ord, r.text) for r in pdf.merge_ocr_pages(runs, read).collect()) == [(0, 0, "ocr a"), (0, 1, "ocr b"), (1, 1, "native")]
     assert ocr.pages_to_read(pages, pages.limit(0).select("doc_id")).count() == 1
 
 
 def test_model_filters(spark):
     b = html.html_blocks(spark.createDataFrame([(1, "<h1>T</h1><ul><li>a</li></ul><p>text goes here</p>"), (2, "<p>lonely words</p>")], "page_id long, html string"))
     sent = Options(llm="openai", consent_external_send=True)
-    good, said = models.filtered(b, lambda r: r["input"].split("\n\n", 1)[1].replace("text", "better text"), "restructure", sent)
+    good, said, diffs = models.filtered(b, lambda r: r["input"].split("\n\n", 1)[1].replace("text", "better text"), "restructure", sent)
     assert {r.warning for r in said.collect()} == {"LLM restructure response accepted and diff saved."}
     assert good.filter("text = 'better text goes here'").count() == 1
-    kept, said = models.filtered(b, lambda r: "# T\n\nonly words and some more words", "restructure", sent)
+    assert "+better text goes here" in diffs.filter("doc_id = 1").first().diff
+    kept, said, _ = models.filtered(b, lambda r: "# T\n\nonly words and some more words", "restructure", sent)
     assert {r.doc_id: r.warning for r in said.collect()}[1] == "LLM restructure response rejected: structured attributes missing from response: list"
     assert kept.filter("doc_id = 1 AND kind = 'list'").count() == 1
 
     def never(_):
         raise AssertionError("sent without consent")
 
-    same, said = models.filtered(b, never, "translate:de", Options(llm="openai"))
+    same, said, _ = models.filtered(b, never, "translate:de", Options(llm="openai"))
     assert same.count() == b.count() and {r.warning for r in said.collect()} == {"LLM filter skipped because external send consent is not configured."}
-    _, said = models.filtered(b, never, "translate:de", sent)
+    _, said, _ = models.filtered(b, never, "translate:de", sent)
     assert all("failed: sent without consent" in r.warning for r in said.collect())
     assert models.destination(Options(llm="ollama")) is None
 
