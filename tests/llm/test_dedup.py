@@ -214,14 +214,14 @@ VECS = "vec_id long, embedding array<float>, label int"
 
 
 def near_vectors(rows):
-    ok = [(i, np.array(v, float), l) for i, v, l in rows if v and l is not None and i is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) and len(v) == 16]
-    n, up = Counter(), {i: i for i, _, _ in rows}
+    ok = [(i, np.array(v, float), l) for i, v, l in rows if v and l is not None and i is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    n, up = defaultdict(set), {i: i for i, _, _ in rows}
     for a in range(len(ok)):
         for b in range(a):
             (i, x, l), (j, y, m) = ok[a], ok[b]
-            if l == m and i != j and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98:
-                n[i] += 1
-                n[j] += 1
+            if l == m and i != j and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98:
+                n[i].add(j)
+                n[j].add(i)
                 p, q = i, j
                 while up[p] != p:
                     p = up[p]
@@ -232,7 +232,7 @@ def near_vectors(rows):
         while up[x] != x:
             x = up[x]
         return x
-    return {i: (n[i], top(i)) for i, _, _ in rows}
+    return {i: (len(n[i]), top(i)) for i, _, _ in rows}
 
 
 @pytest.mark.parametrize("chunk", [2048, 40])
@@ -242,6 +242,9 @@ def test_embeddings_match_brute_force(spark, chunk):
     rows = [(i, [float(x) for x in np.float32(centres[i % 30] + rng.normal(size=16) * (0.01 + 0.2 * (i % 7 == 0)))], int(i % 3)) for i in range(300)]
     rows += [(900 + i, [float(x) for x in np.float32(centres[0] + rng.normal(size=16) * 0.02)], 0) for i in range(150)]
     rows += [(500, None, 1), (501, [0.0] * 16, 1), (502, [float("nan")] * 16, 1), (503, rows[0][1], None), (504, [1.0, None] * 8, 1), (505, [1.0] * 3, 1), (506, [float("inf")] * 16, 1), (507, rows[0][1], 0), (508, [], 0)]
+    rows += [(600 + i, [1.0, 2.0, 3.0 + i // 3], 1) for i in range(6)] + [(610, [5.0], 2), (611, [7.0], 2)]  # rarer widths
+    rows += [(700 + i, rows[3][1], 0) for i in range(20)]  # copies
+    rows += [(7, rows[3][1], 0), (8, rows[3][1], 0), (8, rows[4][1], 0), (10, rows[1][1], 1), (10, rows[1][1], 1)]  # ids with several vectors
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, VECS), chunk=chunk).collect()}
     want = near_vectors(rows)
     assert got.keys() == want.keys()
@@ -249,6 +252,21 @@ def test_embeddings_match_brute_force(spark, chunk):
     assert got == want
 
 
+@pytest.mark.parametrize(("n", "dim"), [(1_000, 16), (2_000, 64), (4_000, 128)])
+def test_recall_of_planted_pairs(spark, n, dim):
+    """Pairs just above the threshold, one beside each of n random vectors: at least 0.99 of them are found."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(n, dim))
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    y = 0.981 * x + np.sqrt(1 - 0.981**2) * side
+    rows = [(2 * i + j, [float(a) for a in v], 0) for i in range(n) for j, v in enumerate((x[i], y[i]))]
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(n)) >= 0.99 * n
+
+
 def test_embeddings_of_nothing(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], VECS)).count() == 0
     one = embedding_dedup.near_vectors(spark.createDataFrame([(None, [1.0, 2.0], 1), (1, None, None)], VECS)).collect()
