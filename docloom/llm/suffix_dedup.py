@@ -37,6 +37,8 @@ BLOCK_BYTES = 4 << 20
 #: Suffixes to a batch of the index family.
 BATCH = 1 << 19
 HOT = 50_000
+#: Blocks to a task, at most on average.
+TASK_BLOCKS = 16
 _SLICE = 1 << 20
 _U = np.uint64
 _KEY_BITS = 40
@@ -168,14 +170,14 @@ def _merge_scan(level: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(ok, at, -1)
 
 
-def substring_duplicates(documents: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, hot: int = HOT, batch: int = BATCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, n_bytes, n_removed, n_spans, starts, stops (byte offsets of spans), kept (bytes left), kept_sha256."""
+def substring_duplicates(documents: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, hot: int = HOT, batch: int = BATCH, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
+    """A row per document: doc_id, n_bytes, n_removed, n_spans, starts, stops (byte offsets of spans), kept_sha256; kept (the bytes left) if ``with_kept``."""
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
     spark = documents.sparkSession
-    width = shuffle_width(spark)
-    blocks = max(width, 2 * input_bytes(documents) // block_bytes)
-    ranges, left, right = blocks, length - GRAM, length
+    blocks = max(shuffle_width(spark), 2 * input_bytes(documents) // block_bytes)
+    width = max(shuffle_width(spark), blocks // TASK_BLOCKS)  # tasks grow with the input, not the bytes of a task
+    ranges, left, right = max(width, blocks // 4), length - GRAM, length  # a block sends a row to each range: fewer ranges, fewer rows
     span = left + right
 
     docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(id_col, F.lit(LAST_ID)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
@@ -407,13 +409,16 @@ def substring_duplicates(documents: DataFrame, length: int = LENGTH, block_bytes
         begins = np.flatnonzero(gone & (edge[:-1] | ~np.concatenate([[False], gone])[:-1]))
         ends = np.flatnonzero(gone & (edge[1:] | ~np.concatenate([gone, [False]])[1:])) + 1
         cut = np.searchsorted(begins, off)
-        starts, stops, kept, removed = [], [], [], []
+        starts, stops, kept, hashes, removed = [], [], [], [], []
         for i in range(len(ids)):
             a, e = off[i], off[i + 1]
             starts.append(begins[cut[i] : cut[i + 1]] - a)
             stops.append(ends[cut[i] : cut[i + 1]] - a)
             removed.append(int((stops[-1] - starts[-1]).sum()))
-            kept.append(raw[a:e].tobytes() if not removed[-1] else raw[a:e][~gone[a:e]].tobytes())
+            left_over = raw[a:e].tobytes() if not removed[-1] else raw[a:e][~gone[a:e]].tobytes()
+            hashes.append(hashlib.sha256(left_over).hexdigest())
+            if with_kept:
+                kept.append(left_over)
         return pa.table(
             {
                 "doc_id": table.column("doc_id").combine_chunks().take(order),
@@ -422,14 +427,14 @@ def substring_duplicates(documents: DataFrame, length: int = LENGTH, block_bytes
                 "n_spans": pa.array([len(x) for x in starts], pa.int64()),
                 "starts": pa.array(starts, pa.list_(pa.int64())),
                 "stops": pa.array(stops, pa.list_(pa.int64())),
-                "kept": pa.array(kept, pa.binary()),
-                "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+                **({"kept": pa.array(kept, pa.binary())} if with_kept else {}),
+                "kept_sha256": pa.array(hashes, pa.string()),
             }
         )
 
     told = docs.groupBy("block").applyInArrow(announce, packed)
-    told = told.groupBy("range").applyInArrow(answer, packed)
-    told = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(surround, packed)
-    told = told.groupBy("range").applyInArrow(search, packed)
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, starts array<long>, stops array<long>, kept binary, kept_sha256 string"
-    return docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(remove, out)
+    told = told.repartition(width, "range").groupBy("range").applyInArrow(answer, packed)
+    told = docs.groupBy("block").cogroup(told.repartition(width, "block").groupBy("block")).applyInArrow(surround, packed)
+    told = told.repartition(width, "range").groupBy("range").applyInArrow(search, packed)
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, starts array<long>, stops array<long>, " + ("kept binary, " if with_kept else "") + "kept_sha256 string"
+    return docs.groupBy("block").cogroup(told.repartition(width, "block").groupBy("block")).applyInArrow(remove, out)
