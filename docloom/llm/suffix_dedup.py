@@ -175,7 +175,10 @@ def substring_duplicates(documents: DataFrame, length: int = LENGTH, block_bytes
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
     spark = documents.sparkSession
-    blocks = max(shuffle_width(spark), 2 * input_bytes(documents) // block_bytes)
+    size = 2 * input_bytes(documents)  # the planner knows the bytes of files, compressed
+    if size >= 1 << 60:  # and of nothing else
+        size = documents.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    blocks = max(shuffle_width(spark), size // block_bytes)
     width = max(shuffle_width(spark), blocks // TASK_BLOCKS)  # tasks grow with the input, not the bytes of a task
     ranges, left, right = max(width, blocks // 4), length - GRAM, length  # a block sends a row to each range: fewer ranges, fewer rows
     span = left + right
