@@ -217,32 +217,38 @@ def shapes(slides: DataFrame) -> DataFrame:
     return shown.unionByName(tables).unionByName(pics)
 
 
-def _legacy(shown: DataFrame, all_slides: DataFrame) -> DataFrame:
-    """Slides (doc_id, slide) whose texts are taken in XML order: without positions and placeholders, or without anything else."""
-    stats = shown.groupBy("doc_id", "slide").agg(F.bool_and((F.col("x") == 0) & (F.col("y") == 0) & (F.col("source") == "shape")).alias("flat"))
-    met = all_slides.select("doc_id", "slide", F.col("xml").contains("<p:ph").alias("ph")).join(stats, ["doc_id", "slide"], "left")
-    return met.filter(F.col("flat").isNull() | (F.col("flat") & ~F.col("ph"))).select("doc_id", "slide")
+def _arranged(parts: DataFrame) -> DataFrame:
+    """Rows (doc_id, slide, xml, legacy, xs): each slide with what it shows, gathered once; ``legacy`` slides are taken in XML order, as they
+    have neither positions nor placeholders, or nothing else."""
+    s = slides(parts)
+    shown = shapes(s)
+    each = F.struct("y", "x", "part", "ord", "at", "source", "kind", "text", "list_kind", "items", "rows", "path")
+    g = shown.groupBy("doc_id", "slide").agg(F.collect_list(each).alias("xs"), F.bool_and((F.col("x") == 0) & (F.col("y") == 0) & (F.col("source") == "shape")).alias("flat"))
+    met = s.select("doc_id", "slide", "xml").join(g, ["doc_id", "slide"], "left")
+    return met.select("doc_id", "slide", "xml", (F.col("flat").isNull() | (F.col("flat") & ~F.col("xml").contains("<p:ph"))).alias("legacy"), "xs")
 
 
 def slide_blocks(parts: DataFrame) -> DataFrame:
     """Rows (doc_id, pos, block columns): slides in order, and on each what is further up, then further left."""
-    s = slides(parts)
-    shown = shapes(s)
-    legacy = _legacy(shown, s)
-    k = F.col("kind")
-    b = block(k, text=F.when(k.isin("heading", "paragraph"), F.col("text")), level=F.when(k == "heading", 1), ordered=F.when(k == "list", F.col("list_kind") == "ordered"), items=F.when(k == "list", F.col("items")), rows=F.col("rows"), alt=F.when(k == "image", F.lit("slide image")), path=F.col("path"))
-    placed = shown.join(legacy, ["doc_id", "slide"], "left_anti").select("doc_id", "slide", "y", "x", "part", "ord", "at", b.alias("b"))
-    t = s.join(legacy, ["doc_id", "slide"], "left_semi").select("doc_id", "slide", F.posexplode(F.filter(F.transform(xml_bodies(F.col("xml"), "a:t"), lambda v: trim(plain(v))), lambda v: v != "")).alias("at", "text"))
-    lb = block(F.when(F.col("at") == 0, "heading").otherwise("paragraph"), text=F.col("text"), level=F.when(F.col("at") == 0, 1))
-    plain_rows = t.select("doc_id", "slide", F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("x"), F.lit(0).alias("part"), F.lit(0).alias("ord"), "at", lb.alias("b"))
-    return _numbered(placed.unionByName(plain_rows), "slide", "y", "x", "part", "ord", "at")
+    def shown(x: Column) -> Column:
+        k = x["kind"]
+        b = block(k, text=F.when(k.isin("heading", "paragraph"), x["text"]), level=F.when(k == "heading", 1), ordered=F.when(k == "list", x["list_kind"] == "ordered"), items=F.when(k == "list", x["items"]), rows=x["rows"], alt=F.when(k == "image", F.lit("slide image")), path=x["path"])
+        return F.struct(x["y"].alias("y"), x["x"].alias("x"), x["part"].alias("part"), x["ord"].alias("ord"), x["at"].alias("at"), b.alias("b"))
+
+    def plain_text(t: Column, i: Column) -> Column:
+        b = block(F.when(i == 0, "heading").otherwise("paragraph"), text=t, level=F.when(i == 0, 1))
+        zero = F.lit(0)
+        return F.struct(zero.cast("long").alias("y"), zero.cast("long").alias("x"), zero.alias("part"), zero.alias("ord"), i.alias("at"), b.alias("b"))
+
+    texts = F.filter(F.transform(xml_bodies(F.col("xml"), "a:t"), lambda v: trim(plain(v))), lambda v: v != "")
+    rows = F.when(F.col("legacy"), F.transform(texts, plain_text)).otherwise(F.transform("xs", shown))
+    each = _arranged(parts).select("doc_id", "slide", F.explode(rows).alias("r")).select("doc_id", "slide", "r.*")
+    return _numbered(each, "slide", "y", "x", "part", "ord", "at")
 
 
 def slide_warnings(parts: DataFrame) -> DataFrame:
     """Rows (doc_id, seq, stage, warning): inferred order, and grids of text that look like tables."""
-    s = slides(parts)
-    shown = shapes(s)
-    shown = shown.join(_legacy(shown, s), ["doc_id", "slide"], "left_anti")
+    shown = _arranged(parts).filter("NOT legacy").select("doc_id", "slide", F.explode("xs").alias("r")).select("doc_id", "slide", "r.*")
     text = (F.col("source") == "shape") & (F.col("kind") == "paragraph")
     g = shown.groupBy("doc_id", "slide").agg(F.bool_or((F.col("x") != 0) | (F.col("y") != 0)).alias("moved"), F.count_if(text).alias("n"), F.count_distinct(F.when(text, F.col("x"))).alias("xs"), F.count_distinct(F.when(text, F.col("y"))).alias("ys"), F.count_if(F.col("kind") == "list").alias("lists"))
     w = F.array_compact(F.array(
