@@ -98,7 +98,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10, block
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents in which no window occurs, with their own columns. Texts are read twice but never shuffled with the hits: only keys are."""
+    """The documents in which no window occurs, with their own columns.
+
+    Texts are read twice. The keys of contaminated documents are stored first, so their size is known: few are broadcast, for many
+    the documents are shuffled.
+    """
     bad = hits(documents.select("doc_id", "text", F.xxhash64("text").alias("_h")), benchmark, ["doc_id", "_h"], n=n, block_bytes=block_bytes)
-    bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("_h").alias("_bad_h")).distinct()
+    bad = stored(bad.select(F.col("doc_id").alias("_bad_id"), F.col("_h").alias("_bad_h")).distinct(), "contaminated")
     return documents.join(bad, documents["doc_id"].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(documents["text"]) == bad["_bad_h"]), "left_anti")
