@@ -287,14 +287,14 @@ def m8_metadata(spark, d):
     return _converted(spark, d).metadata.filter("key = 'bytes'").select("doc_id", "key", "value")
 
 
-@query("SELECT page_id AS doc_id, 'format:markdown,flavor:gfm,ocr:auto' AS tags FROM pages")
+@query("SELECT page_id AS doc_id, 'format:markdown,flavor:gfm,ocr:auto' || CASE WHEN html LIKE '%<ul%' THEN ',media:referenced' ELSE '' END AS tags FROM pages")
 def m4_features(spark, d):
-    return _t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.array_join(report.features(Options(flavor="gfm", ocr="auto"), F.lit(False)), ",").alias("tags"))
+    return _t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.array_join(report.features(Options(flavor="gfm", ocr="auto"), F.col("html").contains("<ul")), ",").alias("tags"))
 
 
-@query("SELECT page_id AS doc_id, 'Unsupported input format: xyz' AS text FROM pages")
+@query("SELECT page_id AS doc_id, 'Unsupported input format: x' || (strlen(html) % 9) AS text FROM pages")
 def s15_unsupported(spark, d):
-    docs = src.from_bytes(_t(spark, d, "pages"), F.lit("file.xyz"), F.col("html"), "page_id")
+    docs = src.from_bytes(_t(spark, d, "pages"), F.concat(F.lit("a.b/file.X"), (F.octet_length("html") % 9).cast("string")), F.col("html"), "page_id")
     return convert(docs, Options(), ["other"]).blocks.select("doc_id", "text")
 
 
@@ -324,28 +324,27 @@ def q3_table_integrity(spark, d):
 
 
 @query(rf"""WITH e AS (SELECT page_id AS doc_id, {_f(PLAIN, _bodies('h1') + '[1]')} AS h FROM pages)
-SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND regexp_replace(h, '^{WS}+|{WS}+$', '', 'g') <> '' THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM e WHERE h NOT LIKE '%#%' AND h NOT LIKE '%' || chr(10) || '%'""")
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND t <> '' AND t NOT LIKE '%#' AND t NOT LIKE '%' || chr(10) || '%' THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM (SELECT doc_id, regexp_replace(h, '^{WS}+|{WS}+$', '', 'g') AS t FROM e WHERE h IS NOT NULL)""")
 def q2_heading_recall(spark, d):
-    b = html.html_blocks(_t(spark, d, "pages")).filter("kind = 'heading'").filter(~F.col("text").contains("#") & ~F.col("text").contains("\n"))
+    b = html.html_blocks(_t(spark, d, "pages")).filter("kind = 'heading'")
     md = b.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# "), "text", F.lit("\n"))).otherwise(F.lit("text\n")).alias("markdown"))
     return metrics.heading_recall(b, md).select("doc_id", "score")
 
 
-_ASCII = "left(regexp_replace({}, '[^\\x20-\\x7E]', '', 'g'), 120)"
+_SEGMENTS = "SELECT c_custkey AS k, c_name AS a, c_mktsegment AS b, c_nationkey AS n FROM customer"
 
 
-@query(f"SELECT doc_id, levenshtein(a, b)::BIGINT AS errors, round(1 - least(levenshtein(a, b) / greatest(length(a), 1), 1.0), 9)::DOUBLE AS score FROM (SELECT doc_id, {_f(_ASCII, 'text')} AS a, reverse({_f(_ASCII, 'text')}) AS b FROM documents)")
+@query(f"SELECT k, levenshtein(a, b)::BIGINT AS errors, round(1 - least(levenshtein(a, b) / greatest(length(a), 1), 1.0), 9)::DOUBLE AS score FROM ({_SEGMENTS})")
 def q5_character_errors(spark, d):
-    a = F.substring(F.regexp_replace("text", r"[^\x20-\x7E]", ""), 1, 120)
-    c = metrics.character_errors(_t(spark, d, "documents").select("doc_id", a.alias("expected"), F.reverse(a).alias("actual")), "doc_id")
-    return c.select("doc_id", "errors", F.round("score", 9).alias("score"))
+    c = metrics.character_errors(_t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("expected"), F.col("c_mktsegment").alias("actual")), "k")
+    return c.select("k", "errors", F.round("score", 9).alias("score"))
 
 
-@query("""WITH g AS (SELECT lang, doc_id % 2 AS o, string_agg(left(regexp_replace(text, '[^\\x20-\\x7E]', '', 'g'), 4), '' ORDER BY doc_id) AS a, string_agg(left(source, 3), '' ORDER BY doc_id) AS b FROM documents GROUP BY 1, 2)
-SELECT 'ocr_cer:' || lang || ':' || o AS name, levenshtein(a, b)::BIGINT AS errors FROM g""")
+@query("""WITH g AS (SELECT n_regionkey AS r, n_nationkey % 2 AS o, string_agg(n_name, '' ORDER BY n_nationkey) AS a, string_agg(r_name, '' ORDER BY n_nationkey) AS b FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)
+SELECT 'ocr_cer:' || r || ':' || o AS name, levenshtein(a, b)::BIGINT AS errors FROM g""")
 def q6_errors_by_group(spark, d):
-    t = F.substring(F.regexp_replace("text", r"[^\x20-\x7E]", ""), 1, 4)
-    c = _t(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.col("lang").alias("language"), (F.col("doc_id") % 2).cast("string").alias("orientation"), t.alias("expected"), F.substring("source", 1, 3).alias("actual"))
+    n = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = n.select(F.col("n_nationkey").alias("ord"), F.col("n_regionkey").cast("string").alias("language"), (F.col("n_nationkey") % 2).cast("string").alias("orientation"), F.col("n_name").alias("expected"), F.col("r_name").alias("actual"))
     return metrics.character_errors_by_group(c).select("name", "errors")
 
 
@@ -373,9 +372,9 @@ def q1_structure_fidelity(spark, d):
     return metrics.structure_fidelity(b, b.filter("kind <> 'list' OR doc_id % 2 = 0"))
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (doc_id % 2 = 0) AS passed, count(*) FILTER (doc_id % 2 = 1) AS failed, 0::BIGINT AS lint_errors FROM documents")
+@query("SELECT count(*) AS total, count(*) FILTER (source = source || CASE WHEN n_chars % 3 = 0 THEN lang ELSE '' END) AS passed, count(*) FILTER (n_chars % 3 = 0) AS failed, 0::BIGINT AS lint_errors FROM documents")
 def q9_golden(spark, d):
-    c = _t(spark, d, "documents").select("doc_id", F.lit("x\n").alias("expected"), F.when(F.col("doc_id") % 2 == 0, "x\n").otherwise("y\n").alias("actual"))
+    c = _t(spark, d, "documents").select("doc_id", F.concat("source", F.lit("\n")).alias("expected"), F.concat("source", F.when(F.col("n_chars") % 3 == 0, F.col("lang")).otherwise(""), F.lit("\n")).alias("actual"))
     return metrics.golden(c)
 
 
@@ -410,9 +409,10 @@ def r2_remaining(spark, d):
     return corpus.remaining(_a(spark, d).select("path"), _b(spark, d), ["error"])
 
 
-@query("""SELECT doc_id, CASE WHEN trim(text, chr(10) || chr(9) || ' ') = '' THEN 'empty' ELSE 'ok' END AS status, length(text) AS chars, sha256(text) AS sha256 FROM documents""")
+@query("""SELECT doc_id, s AS status, CASE WHEN s IN ('ok', 'empty') THEN length(text) ELSE 0 END AS chars, CASE WHEN s IN ('ok', 'empty') THEN sha256(text) ELSE '' END AS sha256 FROM (
+  SELECT doc_id, text, CASE WHEN n_chars % 11 = 0 THEN 'timeout' WHEN n_chars % 13 = 0 THEN 'error' WHEN trim(text, chr(10) || chr(9) || ' ') = '' THEN 'empty' ELSE 'ok' END AS s FROM documents)""")
 def r3_inventory(spark, d):
-    r = _t(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("markdown"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("elapsed_ms"))
+    r = _t(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("markdown"), F.when(F.col("n_chars") % 11 == 0, "timeout").when(F.col("n_chars") % 13 == 0, "broken").alias("error"), F.lit(0).alias("elapsed_ms"))
     return corpus.inventory(r).select(F.col("path").alias("doc_id"), "status", "chars", "sha256")
 
 
@@ -473,9 +473,9 @@ def r16_language_status(spark, d):
     return _t(spark, d, "documents").select("doc_id", corpus.language_status(m("lang", "en"), m("source", "src0")).alias("status"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 200 THEN 'unknown' WHEN n_chars // 3 < 200 OR (n_chars // 3) / n_chars < 0.45 THEN 'warn' ELSE 'pass' END AS status FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars < 200 THEN 'unknown' WHEN n_chars * (doc_id % 3 + 1) // 3 < 200 OR (n_chars * (doc_id % 3 + 1) // 3) / n_chars < 0.45 OR (n_chars % 100) / 100.0 < 0.35 THEN 'warn' ELSE 'pass' END AS status FROM documents")
 def r17_content_status(spark, d):
-    return _t(spark, d, "documents").select("doc_id", corpus.content_status(F.col("n_chars"), F.floor(F.col("n_chars") / 3), F.lit(None).cast("double")).alias("status"))
+    return _t(spark, d, "documents").select("doc_id", corpus.content_status(F.col("n_chars"), F.floor(F.col("n_chars") * (F.col("doc_id") % 3 + 1) / 3), F.col("n_chars") % 100 / 100).alias("status"))
 
 
 @query()
