@@ -67,7 +67,12 @@ def main(argv: list[str] | None = None) -> int:
         print(e)
         return 2
     spark = SparkSession.builder.appName("docloom").getOrCreate()
-    c = convert(files.files(spark, args.input, recursive=args.recursive), o, services=services)
+    found = files.files(spark, args.input, recursive=args.recursive)
+    # Only branches of formats that are there are planned; a name without extension may be any.
+    by_name = files.detected_format(F.col("name"), F.lit(None).cast("binary"))
+    there = {r[0] for r in found.select(by_name).distinct().collect()}
+    formats = None if there & {"unknown", "ai"} else [*there, "other"]
+    c = convert(found, o, formats, services=services)
     results = c.results()
     if o.strict and (bad := results.filter("status = 'error'").count()):
         print(f"{bad} document(s) with warnings")
@@ -78,9 +83,7 @@ def main(argv: list[str] | None = None) -> int:
         named_files = sinks.file_names(results, "name").withColumn("file", F.concat("file", F.lit(".html" if o.format == "html" else ".md")))
         sinks.write_files(named_files, args.output, "file", "markdown")
         if o.extract_media:
-            found = files.files(spark, args.input, recursive=args.recursive)
-            docs = found.withColumn("fmt", files.detected_format(F.col("name"), F.lit(None).cast("binary")))
-            media = extracted_media(docs, convert(found, replace(o, extract_media=None), services=services).blocks)
+            media = extracted_media(found.withColumn("fmt", by_name), convert(found, replace(o, extract_media=None), formats, services=services).blocks)
             sinks.write_files(media.withColumn("file", report.media_file(F.col("doc_id"), F.col("path"))).dropDuplicates(["file"]), o.extract_media, "file", "content")
     elif not args.tables:
         for r in results.orderBy("name").toLocalIterator():
