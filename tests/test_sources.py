@@ -25,7 +25,7 @@ def package(**parts):
 
 def converted(spark, name, content, **opts):
     df = spark.createDataFrame([(1, name, len(content), content)], "doc_id long, name string, length long, content binary")
-    return convert(df, Options(flavor="gfm", **opts))
+    return convert(df, Options(flavor="gfm", **opts), [name.rpartition(".")[2], "other"])
 
 
 P = "<w:p>{}<w:r><w:t>{}</w:t></w:r></w:p>"
