@@ -1,5 +1,7 @@
+import random
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -115,6 +117,54 @@ def test_edit_distance(a, b):
     assert metrics.edit_distance(a, b) == slow_distance(a, b)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ab日é\n𝄞", max_size=20), max_size=4), st.lists(st.text("ab日éx", max_size=20), max_size=3), st.sampled_from([(1, 1), (2, 3), (128, 128)]), st.booleans())
+def test_joined_pieces_are_compared(long, short, fixed, sparse):
+    """Both ways give the distance, however few lengths the upper bound follows."""
+    a, b = "".join(long), "".join(short)
+    if len(a) < len(b):
+        long, short, a, b = short, long, b, a
+    j = metrics._Joined()
+    for t in short:
+        j.add(t, False)
+    for t in long or [""]:
+        j.add(t, True)
+    kept = metrics.BEAM, metrics.PRUNE, metrics._excess
+    try:
+        metrics.BEAM, metrics.PRUNE = fixed
+        metrics._excess = kept[2] if sparse else lambda *x: 10**12  # a bound so high that columns are cheaper
+        if sparse and b:
+            j._flush()
+            places = [metrics._Ends(np.concatenate([np.zeros(0, np.int32), *e]), j.n) for e in j.ends]
+            got = j.n - len(b) + metrics._excess(j.word, places, j.n, metrics._excess(j.word, places, j.n))
+        else:
+            got = j.distance()
+    finally:
+        metrics.BEAM, metrics.PRUNE, metrics._excess = kept
+    assert got == slow_distance(a, b)
+
+
+def test_short_text_in_a_long_one_takes_no_column_for_each_character(monkeypatch):
+    """Of a text that is hundreds of times as long, only the short one's characters are worked on."""
+    rng = random.Random(3)
+    names = "".join(f"src{rng.randrange(20)}" for _ in range(300))
+    text = "".join(rng.choices("etaoinshrlducm 0123456789", [99] * 15 + [0.1] * 10, k=400_000))
+    want = metrics.edit_distance(names, text)
+    monkeypatch.setattr(metrics, "_columns", None)
+    j = metrics._Joined()
+    j.add(names, False)
+    for i in range(0, len(text), 999):
+        j.add(text[i : i + 999], True)
+    assert j.distance() == want
+
+
+def test_groups_without_texts_and_equal_places(spark):
+    rows = [("a", None, 1, "xy", "x"), ("a", None, 1, "ab", None), (None, "1", 2, None, None), ("b", "1", None, "q", "longer than"), ("b", "1", 1, "r", " the other")]
+    c = spark.createDataFrame(rows, "language string, orientation string, ord long, expected string, actual string")
+    got = {(r.name, r.errors, round(r.score, 3)) for r in metrics.character_errors_by_group(c).collect()}
+    assert got == {(None, 3, 0.25), (None, 0, 1.0), ("ocr_cer:b:1", slow_distance("qr", "longer than the other"), 0.0)}
+
+
 def test_whole_texts_are_compared(spark, tmp_path):
     texts = ["日本語の文章です。" * 30, "plain words that go on " * 20 + "é", "", None, "ünï\nçødé " * 25, "z"]
     rows = [(i, t, "ja" if i % 3 else "en", f"src{i}") for i, t in enumerate(texts)]
