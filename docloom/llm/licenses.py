@@ -1,16 +1,18 @@
 """License scan by a trained paragraph classifier.
 
 Native: DataFrame functions and the DataFrame machine-learning API only. A paragraph is what blank lines, or line ends that
-close a sentence, part from the rest; hard-wrapped lines are joined. Paragraphs that hold one of ``STEMS`` are candidates, all
-others are class ``none``. Candidates become sparse word 1- and 2-grams, and a multinomial logistic regression gives their class.
+close a sentence, part from the rest; hard-wrapped lines are joined. Paragraphs become sparse word 1- and 2-grams, and a multinomial
+logistic regression gives their class. A paragraph whose words, by a bound on their weights, cannot lift any class above ``none`` is ``none``;
+the others are the candidates, which are scored. The bound loses none.
 
 It is fitted on made-up uses of the names and notices below, on names of other licences as class ``unknown``, and as class ``none`` on
-sentences with licence words that license nothing and on at most ``MAX_FIT`` candidates of the corpus that are like no notice. A temperature
+sentences with licence words that license nothing and on paragraphs of the corpus that are like no notice: at most ``MAX_FIT`` that hold one of
+``STEMS``, and at most ``MAX_PLAIN`` others, of as many documents. A temperature
 calibrates its probabilities on other wordings, and a cut is set so that licences it was not fitted on stay ``unknown``.
 A family is confirmed by a comparison with its templates: weighted by how few families use a gram, half of a template's grams are in
 the paragraph, or half of the paragraph's grams (words outside the vocabulary weigh most) are in the template. Else it is ``unknown``.
 
-Texts are scanned once for candidates, which are stored, and once for counts.
+Texts are scanned for what the fit needs, for candidates, which are stored, and for counts.
 
 Defined results: a null text has no paragraphs; empty paragraphs are none, and an empty text has none; rows equal in doc_id and text share one
 result; a null doc_id is a key like any other; an empty table gives an empty result (and is fitted without corpus
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -29,7 +32,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, let, stored
+from .common import forget, hashed_sample, let, stored
 
 # Names of licence families.
 NAMES = {
@@ -100,10 +103,13 @@ PLAIN = [
     "The song is in the public domain since last year", "Any person who endorses a cheque must sign it", "Use of the garden is subject to permission", "The film was licensed to a distributor in Japan",
 ]
 FAMILIES = [*NAMES, "unknown", "none"]
-#: A paragraph without any of these is ``none``: names and notices all hold one.
+#: Paragraphs with one of these are the harder examples of ``none``.
 STEMS = ("licen", "copyright", "redistribut", "warrant", "permi", "spdx", "gpl", "mpl", "cc0", "cc by", "cc-by", "creative commons", "public domain", "rights reserved", "endorse", "waived")
 BREAK = r"(?<=[.!?]\r?)\n\s*|\n\s*\n\s*"
 MAX_FIT = 4_000
+MAX_PLAIN = 1_000
+#: Bounds of words are rounded up to these.
+TIERS = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0)
 CONFIRM = 0.5
 
 
@@ -122,9 +128,14 @@ def has_stem(text: Column) -> Column:
     return let(F.lower(text), any_stem)
 
 
+def words_of(paragraph: Column) -> Column:
+    """A paragraph's lower-cased words of letters and digits."""
+    return F.array_remove(F.split(F.lower(paragraph), r"[^\p{L}\p{N}]+"), "")
+
+
 def grams_of(paragraph: Column) -> Column:
-    """The distinct 1- and 2-grams of a paragraph's lower-cased words of letters and digits."""
-    words = F.array_remove(F.split(F.lower(paragraph), r"[^\p{L}\p{N}]+"), "")
+    """The distinct 1- and 2-grams of a paragraph's words."""
+    words = words_of(paragraph)
     pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     return let(words, lambda w: F.array_distinct(F.concat(w, pairs(w))))
 
@@ -171,10 +182,60 @@ def _softmax(raw: list[float], temperature: float) -> list[float]:
     return [x / sum(e) for x in e]
 
 
-def candidates(documents: DataFrame) -> DataFrame:
-    """Rows (doc_id, h, at, p): the paragraphs with a stem; h is the text's hash."""
-    docs = documents.filter(has_stem(F.col("text"))).select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(paragraphs_of(F.col("text"))).alias("at", "p"))
-    return docs.filter(has_stem(F.col("p")))
+def paragraphs(documents: DataFrame) -> DataFrame:
+    """Rows (doc_id, h, at, p): all paragraphs; h is the text's hash."""
+    return documents.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(paragraphs_of(F.col("text"))).alias("at", "p"))
+
+
+def stemmed(documents: DataFrame) -> DataFrame:
+    """The paragraphs with a stem, as rows of ``paragraphs``."""
+    return paragraphs(documents.filter(has_stem(F.col("text")))).filter(has_stem(F.col("p")))
+
+
+def plain(documents: DataFrame, n: int = MAX_PLAIN) -> DataFrame:
+    """At most ``n`` paragraphs (p) without a stem, of at most ``n`` documents: those with the smallest hashes."""
+    return paragraphs(hashed_sample(documents.select(F.lit(0).alias("doc_id"), "text"), n, "text")).filter(~has_stem(F.col("p"))).select("p").distinct().orderBy(F.xxhash64("p"), "p").limit(n)
+
+
+def word_bounds(classifier: Classifier) -> dict[str, float] | None:
+    """By word: a share of how far ``none`` is ahead without words that it makes up at most, for any class; None where ``none`` is not ahead.
+
+    A 2-gram counts for that of its words which is in fewer 2-grams, as it needs both. Words whose shares add up to less than 1 leave every class behind ``none``.
+    """
+    none = FAMILIES.index("none")
+    lead = [classifier.intercepts[none] - b for b in classifier.intercepts]
+    lead[none] = 1.0
+    if min(lead) <= 0:
+        return None
+    used = Counter(w for x, _ in classifier.weights for w in x.split(" ") if " " in x)
+    gains: dict[str, list[float]] = {}
+    for x, w in classifier.weights:
+        of = gains.setdefault(min(x.split(" "), key=lambda p: (used[p], p)), [0.0] * len(FAMILIES))
+        for c, v in enumerate(w):
+            of[c] += max(v - w[none], 0.0)
+    return {w: max(g / a for g, a in zip(of, lead, strict=True)) for w, of in gains.items() if max(of) > 0}
+
+
+def may_license(paragraph: Column, classifier: Classifier) -> Column:
+    """Whether the words of a paragraph may lift a class above ``none``."""
+    bounds = word_bounds(classifier)
+    if bounds is None:
+        return F.lit(True)
+    tiers = {t: [w for w, v in bounds.items() if low < v <= t or (t == TIERS[-1] and v > t)] for low, t in zip((0.0, *TIERS), TIERS, strict=False)}
+
+    def share(w: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(0.0))
+        for t in reversed(TIERS):
+            out = out.when(w.isin(tiers[t]), F.lit(t)) if tiers[t] else out
+        return out.otherwise(F.lit(0.0))
+
+    known = F.array_distinct(F.filter(words_of(paragraph), lambda w: w.isin(list(bounds))))
+    return F.aggregate(known, F.lit(0.0), lambda s, w: s + share(w)) >= 1 - 1e-6  # scores are rounded
+
+
+def candidates(documents: DataFrame, classifier: Classifier) -> DataFrame:
+    """Those of all paragraphs that may be of another class than ``none``."""
+    return paragraphs(documents).filter(may_license(F.col("p"), classifier))
 
 
 def _templates() -> list[tuple[int, str]]:
@@ -216,10 +277,10 @@ def _regression(vectors: CountVectorizerModel, data: DataFrame):
     return model
 
 
-def fit(found: DataFrame, max_fit: int = MAX_FIT) -> Classifier:
-    """Fit on the examples, then again with a bounded sample of candidates (p): those with the smallest hashes.
+def fit(found: DataFrame, max_fit: int = MAX_FIT, more: DataFrame | None = None) -> Classifier:
+    """Fit on the examples, then again with a bounded sample of paragraphs (p): those with the smallest hashes, and all of ``more``.
 
-    Of the sample only what is like no template and what the first fit takes for ``none`` becomes an example of it, so that licences of
+    Of these only what is like no template and what the first fit takes for ``none`` becomes an example of it, so that licences of
     the corpus, which nobody has labelled, are not learnt as none.
     """
     spark = found.sparkSession
@@ -229,7 +290,9 @@ def fit(found: DataFrame, max_fit: int = MAX_FIT) -> Classifier:
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="g", outputCol="features", minTF=1.0)
     vectors.setBinary(True)
     model = _regression(vectors, train)
-    sample = found.select("p").distinct().orderBy(F.xxhash64("p"), "p").limit(max_fit).select(grams_of(F.col("p")).alias("g"))
+    sample = found.select("p").distinct().orderBy(F.xxhash64("p"), "p").limit(max_fit)
+    sample = sample if more is None else sample.unionByName(more.select("p"))
+    sample = sample.repartition(spark.sparkContext.defaultParallelism, "p").select(grams_of(F.col("p")).alias("g"))
     plain = model.transform(vectors.transform(sample)).filter(F.col("prediction") == none).select("g")
     plain = likeness(plain, spark, False).filter(F.coalesce(F.col("best.similarity"), F.lit(0.0)) < 0.3).select("g", none.alias("y"))
     plain = stored(plain, "license-negatives")
@@ -255,28 +318,34 @@ def classified(found: DataFrame, classifier: Classifier) -> DataFrame:
     spark, n = found.sparkSession, len(FAMILIES)
     unknown, none = FAMILIES.index("unknown"), FAMILIES.index("none")
     weights = spark.createDataFrame(classifier.weights, "word string, w array<double>")  # the examples fix its size
-    parts = found.dropDuplicates(["doc_id", "h", "at"]).select("doc_id", "h", "at", "p", grams_of(F.col("p")).alias("g"))
-    keys = ["doc_id", "h", "at"]
-    # Copies of one paragraph are scored once; only its hashes are shuffled.
+    # Copies of one paragraph are scored once; only its hashes and its grams of the vocabulary are shuffled.
     digest = [F.xxhash64("p").alias("h1"), F.xxhash64(F.lit("second"), "p").alias("h2")]
-    each = parts.select(*digest, "g").dropDuplicates(["h1", "h2"]).select("h1", "h2", "g", F.explode("g").alias("gram"))
-    sums = each.join(F.broadcast(weights), F.col("gram") == F.col("word")).groupBy("h1", "h2").agg(F.first("g").alias("g"), *[F.sum(F.col("w")[c]).alias(f"s{c}") for c in range(n)])
+    known = F.filter(grams_of(F.col("p")), lambda g: g.isin([w for w, _ in classifier.weights]))
+    each = found.select(*digest, known.alias("g")).dropDuplicates(["h1", "h2"]).select("h1", "h2", F.explode("g").alias("gram"))
+    sums = each.join(F.broadcast(weights), F.col("gram") == F.col("word")).groupBy("h1", "h2").agg(*[F.sum(F.col("w")[c]).alias(f"s{c}") for c in range(n)])
     raw = F.array(*[F.round((F.col(f"s{c}") + classifier.intercepts[c]) / classifier.temperature, 9) for c in range(n)])
-    scored = sums.select("h1", "h2", "g", raw.alias("raw")).withColumn("top", F.array_max("raw")).filter(F.col("top") > F.get("raw", F.lit(none)))
+    scored = sums.select("h1", "h2", raw.alias("raw")).withColumn("top", F.array_max("raw")).filter(F.col("top") > F.get("raw", F.lit(none)))
     odds = F.aggregate(F.transform("raw", lambda r: F.exp(r - F.col("top"))), F.lit(0.0), lambda s, x: s + x)
-    scored = scored.select("h1", "h2", "g", (F.array_position("raw", F.col("top")) - 1).cast("int").alias("c"), (1 / odds).alias("probability"))
-    scored = likeness(scored, spark, True)
+    scored = scored.select("h1", "h2", (F.array_position("raw", F.col("top")) - 1).cast("int").alias("c"), (1 / odds).alias("probability"))
+    scored = stored(scored, "license-scores")  # stored, so that few of them are sent to the texts and not these to them
+    texts = found.select(*digest, "p").join(scored, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("h1", "h2", grams_of(F.col("p")).alias("g"))
+    met = likeness(scored.join(texts, ["h1", "h2"]), spark, True)
     sure = (F.col("c") < unknown) & (F.col("probability") >= classifier.cut) & (F.col("best.similarity") >= CONFIRM)
     names = F.array(*[F.lit(f) for f in FAMILIES])
-    scored = scored.select("h1", "h2", F.when(sure, F.get(names, F.col("c"))).otherwise("unknown").alias("family"), F.round("probability", 6).alias("probability"), F.round("best.similarity", 6).alias("similarity"), "best.template")
-    scored = stored(scored, "license-paragraphs")  # stored, so that the places of one notice can be split between tasks
-    return parts.select(*keys, "p", *digest).join(scored, ["h1", "h2"]).drop("h1", "h2")
+    met = met.select("h1", "h2", F.when(sure, F.get(names, F.col("c"))).otherwise("unknown").alias("family"), F.round("probability", 6).alias("probability"), F.round("best.similarity", 6).alias("similarity"), "best.template")
+    met = stored(met, "license-paragraphs")  # stored, so that the places of one notice can be split between tasks
+    forget(scored)
+    return found.select("doc_id", "h", "at", "p", *digest).join(met, ["h1", "h2"]).drop("h1", "h2").dropDuplicates(["doc_id", "h", "at"])
 
 
 def licenses(documents: DataFrame, max_fit: int = MAX_FIT, classifier: Classifier | None = None) -> DataFrame:
     """A row per document: doc_id, n_paragraphs, n_license, n_unknown, families (sorted, comma-joined)."""
-    found = stored(candidates(documents), "license-candidates")
-    per = classified(found, classifier or fit(found, max_fit)).groupBy("doc_id", "h").agg(
+    if classifier is None:
+        pool = stored(stemmed(documents), "license-pool")
+        classifier = fit(pool, max_fit, plain(documents, min(max_fit, MAX_PLAIN)))
+        forget(pool)
+    found = stored(candidates(documents, classifier), "license-candidates")
+    per = classified(found, classifier).groupBy("doc_id", "h").agg(
         F.count_if(F.col("family") != "unknown").alias("n_license"), F.count_if(F.col("family") == "unknown").alias("n_unknown"),
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("family") != "unknown", F.col("family")))), ",").alias("families"),
     )

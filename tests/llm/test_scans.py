@@ -389,3 +389,29 @@ def test_single_words_walk_through_a_tree_as_whole_trees_do():
     seen = a._reached()
     assert all(a.log_likelihood(w) > float("-inf") for w in words)
     assert sum(a.end[s] for s in seen) == len(words) and sum(sum(a.count[s].values()) for s in seen) == sum(map(len, words))
+
+
+def test_licences_without_a_stem(spark):
+    """Names that hold no word of licences are classified like others, and so are plain sentences."""
+    want = {"This file is under the MIT": "MIT", "Released under Apache-2.0.": "Apache-2.0", "The code is distributed under the terms of the BSD-3-Clause": "BSD", "Released under the ISC": "ISC", "Some words on trees and the sea.": "", "All of this is in the library by the sea, under the old roof.": ""}
+    assert not any(s in t.lower() for t in want for s in licenses.STEMS)
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: (r.families, r.n_unknown) for r in licenses.licenses(df, max_fit=0).collect()}
+    assert got == {i: (f, 0) for i, f in enumerate(want.values())}
+
+
+def test_the_bound_of_words_loses_no_licence(spark, documents):
+    """All paragraphs scored, and those alone whose words may make a licence: equal rows."""
+    rng = random.Random(41)
+    uses = [u.replace("{}", n) for f in licenses.NAMES for n in licenses.NAMES[f] for u in licenses.USES]
+    words = sorted({w for u in uses for w in u.split()} | {w for t in licenses.PLAIN + licenses.RIGHTS for w in t.split()})
+    rows = [(i, "\n\n".join([rng.choice(uses), *(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 12))) for _ in range(8))])) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(documents.select("doc_id", "text"))
+    classifier = licenses.fit(licenses.stemmed(df), 50, licenses.plain(df, 50))
+    every, some = licenses.paragraphs(df), licenses.candidates(df, classifier)
+    found = lambda x: Counter(tuple(r) for r in licenses.classified(x, classifier).collect())
+    want = found(every)
+    assert len(want) > 300 and found(some) == want
+    assert some.count() < every.count()
+    ahead = licenses.Classifier(classifier.weights, [c + 100 * (i == 0) for i, c in enumerate(classifier.intercepts)], 1.0, 0.5)
+    assert licenses.candidates(df, ahead).count() == every.count()  # none is not ahead: nothing can be left out
