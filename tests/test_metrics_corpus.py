@@ -158,6 +158,56 @@ def test_short_text_in_a_long_one_takes_no_column_for_each_character(monkeypatch
     assert j.distance() == want
 
 
+def joined(short, long):
+    j = metrics._Joined()
+    j.add(short, False)
+    j.add(long, True)
+    j._flush()
+    return j.word, [metrics._Ends(np.concatenate([np.zeros(0, np.int32), *e]), j.n) for e in j.ends], j.n
+
+
+def numbers_in_words(rng, names, stretches):
+    """Names ``src`` with a number, and a text of plain words with some stretches that have the names' digits, more in its first part."""
+    short = "".join(f"src{rng.randrange(20)}" for _ in range(names))
+    plain = lambda n: "".join(rng.choices("etaoinshrldum ", k=n))
+    rare = lambda: "".join(rng.choices("0123456789c.sr ", k=rng.randrange(1, 30)))
+    return short, "".join(plain(rng.randrange(40 if k % 3 else 4 * k + 1)) + rare() for k in range(stretches)) + plain(3 * stretches)
+
+
+@pytest.mark.parametrize(("common", "near", "cells"), [(16, 64, 1 << 24), (2, 1, 20), (0, 0, 1), (10**9, 5, 100)])
+def test_bounds_of_common_subsequences(monkeypatch, common, near, cells):
+    """They never exceed what is left, and the search with them is exact or says that the distance is more."""
+    for k, v in (("COMMON", common), ("NEAR", near), ("CELLS", cells), ("BEAM", 3)):
+        monkeypatch.setattr(metrics, k, v)
+    rng = random.Random(5)
+    for names in (1, 13, 14, 40, 90):
+        short, long = numbers_in_words(rng, names, 2 * names)
+        word, places, n = joined(short, long)
+        b = metrics._Least(word, places, n).find()
+        m, want = len(word), metrics.edit_distance(short, long) - n + len(word)
+        for i in range(0, len(b.at), 1 + len(b.at) // 4):
+            for left in range(0, m + 1, b.step):
+                text = long[b.at[i] :]
+                if len(text) >= left:
+                    assert b.left(b.at[i : i + 1], left)[0] <= metrics.edit_distance(short[m - left :], text) - len(text) + left
+        assert metrics._excess(word, places, n, None, b) >= want
+        assert [metrics._excess(word, places, n, want + d, b) for d in (0, 1, 50)] == [want] * 3
+        assert not want or metrics._excess(word, places, n, want - 1, b) == want
+
+
+def test_few_lengths_are_followed(monkeypatch):
+    """Where a name's digits are rare, what the rest of the text can give decides, so lengths far from the best way are left."""
+    short, long = numbers_in_words(random.Random(7), 1500, 800)
+    want, sizes, after = metrics.edit_distance(short, long), [], metrics._Ends.after
+    monkeypatch.setattr(metrics, "_columns", None)
+    monkeypatch.setattr(metrics._Ends, "after", lambda self, x: sizes.append(len(x)) or after(self, x))
+    j = metrics._Joined()
+    j.add(short, False)
+    j.add(long, True)
+    assert j.distance() == want
+    assert sum(sizes) < 1000 * len(short)
+
+
 def test_groups_without_texts_and_equal_places(spark):
     rows = [("a", None, 1, "xy", "x"), ("a", None, 1, "ab", None), (None, "1", 2, None, None), ("b", "1", None, "q", "longer than"), ("b", "1", 1, "r", " the other")]
     c = spark.createDataFrame(rows, "language string, orientation string, ord long, expected string, actual string")
