@@ -171,13 +171,13 @@ def numbers_in_words(rng, names, stretches):
     short = "".join(f"src{rng.randrange(20)}" for _ in range(names))
     plain = lambda n: "".join(rng.choices("etaoinshrldum ", k=n))
     rare = lambda: "".join(rng.choices("0123456789c.sr ", k=rng.randrange(1, 30)))
-    return short, "".join(plain(rng.randrange(40 if k % 3 else 4 * k + 1)) + rare() for k in range(stretches)) + plain(3 * stretches)
+    return short, "".join(plain(rng.randrange(40 if k % 3 else 12 * k + 1)) + rare() for k in range(stretches)) + plain(3 * stretches)
 
 
 @pytest.mark.parametrize(("common", "near", "cells"), [(16, 64, 1 << 24), (2, 1, 20), (0, 0, 1), (10**9, 5, 100)])
 def test_bounds_of_common_subsequences(monkeypatch, common, near, cells):
     """They never exceed what is left, and the search with them is exact or says that the distance is more."""
-    for k, v in (("COMMON", common), ("NEAR", near), ("CELLS", cells), ("BEAM", 3)):
+    for k, v in (("COMMON", common), ("NEAR", near), ("CELLS", cells), ("BEAM", 3), ("ROOM", (0, 0))):
         monkeypatch.setattr(metrics, k, v)
     rng = random.Random(5)
     for names in (1, 13, 14, 40, 90):
